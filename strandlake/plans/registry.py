@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandlake.plans import quality
+from strandlake.plans import methylation, quality
 
-QUERIES = {**quality.QUERIES}
-ORACLE = {**quality.ORACLE}
+QUERIES = {**quality.QUERIES, **methylation.QUERIES}
+ORACLE = {**quality.ORACLE, **methylation.ORACLE}
