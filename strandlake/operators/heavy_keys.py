@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.session import materialize
+
 _STATE = "n_rows long, sum_cov long, sum_value long, max_cov long, n_positions long, n_islands long, max_gap long, first_pos long, last_pos long"
 _NAMES = ("n_rows", "sum_cov", "sum_value", "max_cov", "n_positions", "n_islands", "max_gap", "first_pos", "last_pos")
 _NONE = np.iinfo(np.int64).min
@@ -161,6 +163,7 @@ def heavy_keys(stats: DataFrame, per: list[str], key: str, parts: int) -> DataFr
     All rows count in the total, those of null and empty keys too. There is one
     total per ``per`` group, that is per source table, so they are broadcast.
     """
+    stats = materialize(stats, "key-stats")  # read twice; one row per key
     totals = stats.groupBy(*per).agg(F.sum("n_rows").alias("_all"))
     named = stats.where(F.col(key).isNotNull() & (F.col(key) != ""))
     return named.join(F.broadcast(totals), per).where(F.col("n_rows") * F.lit(parts) >= F.col("_all")).drop("_all")
