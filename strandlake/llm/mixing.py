@@ -90,7 +90,8 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, source: str, lang: str, s
     ``available`` (size of its documents, each once), ``budget``, ``taken``,
     ``share`` of the mix (0 for an empty mix) and ``reachable``. A null size
     counts as 0. Repeated rows are documents of their own. Null or negative
-    shares and uses count as 0. Which documents are chosen depends on ``seed``
+    shares and uses count as 0. A leaf's prefix ends where it is nearest to the
+    budget, off by half a document at most. Which documents are chosen depends on ``seed``
     and the keys alone.
     """
     spark = docs.sparkSession
@@ -138,7 +139,7 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, source: str, lang: str, s
     inside = near.where("_bucket = _edge").withColumn("_upto", F.col("_base") + F.sum("_size").over(Window.partitionBy(*leaf).orderBy("_at", "_key").rowsBetween(Window.unboundedPreceding, 0)))
     columns = ["_key", "_source", "_size"]
     chosen = near.where("_edge is null or _bucket <> _edge").select(*columns, (F.col("_epochs") + F.when(F.col("_bucket") < F.col("_edge"), 1).otherwise(0)).alias("n_uses"))
-    chosen = chosen.unionByName(inside.select(*columns, (F.col("_epochs") + F.when(F.col("_upto") <= F.col("_rest"), 1).otherwise(0)).alias("n_uses")))
+    chosen = chosen.unionByName(inside.select(*columns, (F.col("_epochs") + F.when(F.col("_upto") - F.col("_size") / 2 <= F.col("_rest"), 1).otherwise(0)).alias("n_uses")))
     uses = chosen.where("n_uses > 0").select(F.col("_key").alias(key), F.col("_source").alias("source"), F.col("_size").alias("size"), "n_uses")
 
     facts = [(s, name, share, uses_, of_source[s], int(sum(v for k, v in given.items() if k[2] == s)), bool(of_source[s] * uses_ >= share * total)) for s, (name, share, uses_) in goals.items()]
