@@ -56,6 +56,7 @@ def _without_quotes(text: str) -> str:
             i = len(lines) if end is None else end + 1
             continue
         quoted = bool(_QUOTED_LINE.match(line))
+        within = bool(stack)
         if not quoted:
             inner = []
         kept, at = [], 0
@@ -75,7 +76,7 @@ def _without_quotes(text: str) -> str:
                     pass
                 if not paired[kind] and not next((c for k, c in tags[seen:] if k == kind), False):
                     del stack[next((j for j, k in enumerate(stack) if k == kind), len(stack)) :]
-        if not stack and (not quoted or at):
+        if not stack and (not quoted or within):  # a quote may end on a quoted line
             kept.append(line[at:])
         rest = " ".join(kept)
         follows = next((x for x in lines[i + 1 : i + 3] if x.strip()), "")
