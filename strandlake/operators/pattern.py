@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import iupac
 from strandlake.functions.motif import Motif
 from strandlake.operators.pileup import fraction, last_wins
-from strandlake.operators.scan import motif_positions, motif_table
+from strandlake.operators.scan import block_of, motif_blocks, motif_table, occurrences, offset_of
 
 RAW_COLUMNS = ("contig", "start", "strand", "motif", "mod_type", "mod_position", "n_modified", "n_valid_cov", "n_diff", "n_fail")
 DEGREE_COLUMNS = ("contig", "motif", "mod_type", "mod_position", "methylation_value", "mean_read_cov", "n_motif_obs", "motif_occurences_total")
@@ -31,33 +31,35 @@ class Output(str, Enum):
             raise ValueError(f"unknown output type '{text}': use raw, median or weighted_mean") from None
 
 
-def observations(positions: DataFrame, meth: DataFrame, motifs: list[Motif], how: str = "inner") -> DataFrame:
-    """Hits joined to the counts at their contig, position, strand and modification.
+def observations(blocks: DataFrame, meth: DataFrame, motifs: list[Motif]) -> DataFrame:
+    """Counts at hits: rows of ``meth`` at a hit's contig, position, strand and modification.
 
-    ``meth``: see ``pileup.methylation``. With a column ``_order`` the last of
-    repeated keys wins; the join's own partitioning serves that too.
+    ``meth``: see ``pileup.methylation``. The join is on blocks of positions,
+    which spreads a large contig; the offset is looked up in the block's list.
+    With a column ``_order`` the last of repeated keys wins, within the join's
+    own partitioning.
     """
-    table = positions.sparkSession.createDataFrame(motif_table(motifs), "motif_id int, motif string, mod_type string, mod_position int")
-    hits = positions.join(F.broadcast(table), "motif_id").withColumnRenamed("position", "start")
-    joined = hits.join(meth, ["contig", "start", "strand", "mod_type"], how)
+    table = blocks.sparkSession.createDataFrame(motif_table(motifs), "motif_id int, motif string, mod_type string, mod_position int")
+    hits = blocks.join(F.broadcast(table), "motif_id")
+    placed = meth.withColumn("block", block_of(F.col("start"))).withColumn("_offset", offset_of(F.col("start")))
+    joined = placed.join(hits, ["contig", "strand", "mod_type", "block"]).where(F.array_contains("offsets", F.col("_offset"))).drop("offsets", "_offset")
     if "_order" in meth.columns:
-        joined = last_wins(joined, ["contig", "start", "strand", "mod_type", "motif_id"])
-    return joined
+        joined = last_wins(joined, ["contig", "strand", "mod_type", "block", "start", "motif_id"])
+    return joined.drop("block")
 
 
 def raw(contigs: DataFrame, meth: DataFrame, motifs: list[Motif]) -> DataFrame:
     """Counts at every observed hit (RAW_COLUMNS)."""
-    return observations(motif_positions(contigs, motifs), meth, motifs).select(*RAW_COLUMNS)
+    return observations(motif_blocks(contigs, motifs), meth, motifs).select(*RAW_COLUMNS)
 
 
 def _degrees(contigs: DataFrame, meth: DataFrame, motifs: list[Motif], value: Column) -> DataFrame:
-    # a left join keeps hits without counts, so one scan gives the totals too
-    hits = observations(motif_positions(contigs, motifs), meth, motifs, "left")
-    seen = hits.withColumn("n_modified", F.when(F.col("n_valid_cov") > 0, F.col("n_modified"))).withColumn("n_valid_cov", F.when(F.col("n_valid_cov") > 0, F.col("n_valid_cov")))
-    per = seen.groupBy("contig", "motif", "mod_type", "mod_position").agg(
-        value.alias("methylation_value"), F.avg("n_valid_cov").alias("mean_read_cov"), F.count("n_valid_cov").alias("n_motif_obs"), F.count("*").alias("motif_occurences_total"),
-    )
-    return per.where("n_motif_obs > 0").select(*DEGREE_COLUMNS)
+    blocks = motif_blocks(contigs, motifs)
+    seen = observations(blocks, meth, motifs).where("n_valid_cov > 0")
+    per = seen.groupBy("contig", "motif_id", "motif", "mod_type", "mod_position").agg(value.alias("methylation_value"), F.avg("n_valid_cov").alias("mean_read_cov"), F.count("*").alias("n_motif_obs"))
+    # the totals scan once more, which is cheaper than to keep hits without counts through the join
+    total = occurrences(blocks, by_strand=False).withColumnRenamed("n_occurrences", "motif_occurences_total")
+    return per.join(total, ["contig", "motif_id"]).select(*DEGREE_COLUMNS)
 
 
 def median(contigs: DataFrame, meth: DataFrame, motifs: list[Motif]) -> DataFrame:

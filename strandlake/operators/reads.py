@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.modtags import DESCRIPTOR
 from strandlake.functions.motif import Motif
-from strandlake.operators.scan import mask_array, motif_positions, starts_of, with_motifs
+from strandlake.operators.scan import Letters, block_of, motif_blocks, offset_of, with_motifs
 
 _KNOWN = {("A", "a"): "a", ("C", "m"): "m", ("C", "21839"): "21839"}
 _BASE = {"a": "A", "m": "C", "21839": "C"}
@@ -174,14 +174,14 @@ def read_hits(reads: DataFrame, motifs: list[Motif], aligned: bool, mode: str =
                 if not seq:
                     continue
                 n = len(seq)
-                masks = mask_array(seq)
+                letters = Letters(seq)
                 quality = np.zeros(n, dtype=np.int64)
                 p, _, q = decode_calls(seq, mm, ml, mode)
                 quality[p] = q
                 contig, start, strand, cigar, mapq = where if aligned else (None, 0, None, None, None)
                 ref = position_map(cigar, start, n) if aligned else None
                 for i, m in enumerate(motifs):
-                    starts = starts_of(masks, m.sequence)
+                    starts = letters.starts_of(m.sequence)
                     if not len(starts):
                         continue
                     at = starts + m.mod_position
@@ -215,12 +215,15 @@ def read_bam_pattern(reads: DataFrame, contigs: DataFrame, motifs: list[Motif],
     """Every hit on mapped reads, with the alignment's view of it (13 columns).
 
     Only reads whose contig is in the assembly are used. The positions of the
-    reference's own motifs join on contig, motif, strand and position.
+    reference's own motifs join by blocks of positions.
     """
     mapped = reads.join(contigs.select("contig").distinct(), "contig", "left_semi")
     hits = read_hits(mapped, motifs, aligned=True, mode=mode)
-    own = motif_positions(contigs, motifs).select("contig", "motif_id", "strand", F.col("position").cast("int").alias("start_contig"), F.lit(True).alias("_has"))
-    flagged = with_motifs(hits.join(own, ["contig", "motif_id", "strand", "start_contig"], "left"), motifs)
+    # tiles meet within a block now and then: then its lists are put together
+    own = motif_blocks(contigs, motifs).groupBy("contig", "motif_id", "strand", "block").agg(F.flatten(F.collect_list("offsets")).alias("offsets"))
+    placed = hits.withColumn("block", F.when(F.col("start_contig") >= 0, block_of(F.col("start_contig"))).otherwise(-1 - F.pmod(F.hash("read_id"), F.lit(4096))))
+    joined = placed.join(own, ["contig", "motif_id", "strand", "block"], "left")
+    flagged = with_motifs(joined.withColumn("_has", F.array_contains("offsets", offset_of(F.col("start_contig")))), motifs)
     return flagged.select(
         F.col("contig").alias("contig_id"), "start_contig", F.coalesce("_has", F.lit(False)).alias("reference_has_motif"), "strand", "read_id", "read_length",
         F.coalesce("mapq", F.lit(0)).alias("mapping_quality"), "start_read", "motif", "mod_type", F.col("mod_position").cast("string").alias("mod_position"),

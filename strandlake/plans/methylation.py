@@ -14,6 +14,7 @@ from strandlake.operators import pattern, pileup, reads, scan, tags
 from strandlake.operators.assembly import clean_sequence, latest_loads
 from strandlake.operators.cigar import cigar_blocks
 from strandlake.plans.tables import table
+from strandlake.session import spread
 
 MIN_COVERAGE, MIN_FRACTION = 3, 0.8
 
@@ -59,7 +60,7 @@ def motif_positions(spark: SparkSession, d: str) -> DataFrame:
 
 def motif_occurrences(spark: SparkSession, d: str) -> DataFrame:
     motifs = motif_list(spark, d)
-    return scan.with_motifs(scan.occurrences(scan.motif_positions(assembly(spark, d), motifs)), motifs)
+    return scan.with_motifs(scan.occurrences(scan.motif_blocks(assembly(spark, d), motifs)), motifs)
 
 
 def pileup_filtered(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +133,7 @@ def motif_union(spark: SparkSession, d: str) -> DataFrame:
 
 def tagged_reads(spark: SparkSession, d: str) -> DataFrame:
     """One long read per loaded contig, with tags and an alignment made from its row number."""
-    rows = table(spark, d, "contigs").select(F.col("contig_row").alias("r"), stripped(F.col("id")).alias("contig"), clean_sequence(F.col("sequence")).alias("s")).where("length(s) > 0 and contig <> ''")
+    rows = spread(table(spark, d, "contigs")).select(F.col("contig_row").alias("r"), stripped(F.col("id")).alias("contig"), clean_sequence(F.col("sequence")).alias("s")).where("length(s) > 0 and contig <> ''")
     n, clip = F.length("s"), 5 + F.col("r") % 7
     skips = lambda e: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), e), ",")
     r = F.col("r")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -28,6 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError(f"set {_SETTING} to a folder that all executors share")
 
 
+_roots: set[str] = set()
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    """Delete the application's written tables at its end, if its session still runs."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:
+        pass
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -35,6 +48,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     stage from running once per consumer.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandlake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/strandlake/{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_remove, spark, root)
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows over at least as many partitions as there are cores, for work that costs far more than moving them.
+
+    For plans without a shuffle only, as the number of partitions is asked for.
+    A table in many files stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(2 * cores)

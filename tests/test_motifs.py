@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import iupac
 from strandlake.functions.motif import Motif, MotifError, collapse_children, parse_motifs, patterns, union_motif
 from strandlake.operators import motifs as ops
-from strandlake.operators.scan import find_motif, motif_positions, occurrences, with_motifs
+from strandlake.operators.scan import find_motif, motif_blocks, motif_positions, occurrences, with_motifs
 
 
 def test_alphabet():
@@ -72,11 +72,12 @@ def test_positions_by_tiles(spark, tile):
     rng = random.Random(2)
     contigs = [(f"c{i}", "".join(rng.choices("ACGTNR", [9, 9, 9, 9, 1, 1], k=rng.randrange(400)))) for i in range(20)] + [("null", None), ("empty", "")]
     motifs = parse_motifs(["GATC_a_1", "CCWGG_m_1", "AA_a_0", "GANNC_a_1"])
-    got = motif_positions(spark.createDataFrame(contigs, "contig string, sequence string"), motifs, tile=tile)
+    df = spark.createDataFrame(contigs, "contig string, sequence string")
+    got = motif_positions(df, motifs, tile=tile)
     want = {(c, motifs.index(p.motif), p.strand, x) for c, s in contigs if s for p in patterns(motifs) for x in brute(s, p)}
     rows = [tuple(r) for r in got.select("contig", "motif_id", "strand", "position").collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
-    totals = {(r["contig"], r["motif"], r["strand"]): r["n_occurrences"] for r in with_motifs(occurrences(got), motifs).collect()}
+    totals = {(r["contig"], r["motif"], r["strand"]): r["n_occurrences"] for r in with_motifs(occurrences(motif_blocks(df, motifs, tile=tile)), motifs).collect()}
     assert sum(totals.values()) == len(want)
 
 
