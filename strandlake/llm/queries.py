@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from strandlake.functions.text import sql_stripped, stripped
 from strandlake.llm import mixing, packing, percentiles, reading, split
 from strandlake.llm.tokens import n_tokens
+from strandlake.session import spread
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokenizing and scoring cost far more than moving the texts, so a table in few pieces is spread over all cores."""
+    return spread(_table(spark, folder, "documents"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = split.split_long(_table(spark, d, "contigs"), "contig_row", "sequence", with_text=False)
     return pieces.select("contig_row", F.explode("stretch_starts").alias("stretch_start"))
@@ -54,7 +60,7 @@ def p4_from_days(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(_table(spark, d, "documents"), "doc_id", n_tokens(F.col("text")))
+    return packing.pack(_documents(spark, d), "doc_id", n_tokens(F.col("text")))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +76,7 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, d: str) -> mixing.Mix:
-    return mixing.mix(_table(spark, d, "documents"), _table(spark, d, "mix_targets"), "doc_id", "source", "lang", n_tokens(F.col("text")))
+    return mixing.mix(_documents(spark, d), _table(spark, d, "mix_targets"), "doc_id", "source", "lang", n_tokens(F.col("text")))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -86,8 +92,8 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, d: str) -> DataFrame:
-    docs = _table(spark, d, "documents")
-    model = reading.fit_tables(docs, _table(spark, d, "reading_labels"), _table(spark, d, "level_anchors"))
+    docs = _documents(spark, d)
+    model = reading.fit_tables(_table(spark, d, "documents"), _table(spark, d, "reading_labels"), _table(spark, d, "level_anchors"))
     return reading.reading_levels(docs, "doc_id", "text", model)
 
 

@@ -174,14 +174,14 @@ def _calibrate(x: np.ndarray, targets: np.ndarray, weight: np.ndarray, penalty:
 
 
 def fit(anchors: list[tuple[int, str]], labelled: list[tuple[str, list[int]]], seed: int = 0) -> Model:
-    """Fit on anchor passages (level, text) and labelled texts (text, ratings).
+    """Fit on anchor passages (level, text) and labelled texts (text, number of ratings at each of the five levels).
 
     The calibration is fitted on documents that the sentence models haven't
     seen: two halves are predicted by models of the other half. Ratings of one
     text are averaged, so that raters who err weigh little.
     """
     texts = [(t, np.bincount([level - 1], minlength=LEVELS).astype(float), 3.0) for level, t in anchors]
-    texts += [(own_words(t), np.bincount([r - 1 for r in ratings], minlength=LEVELS) / len(ratings), min(len(ratings), 3) / 2) for t, ratings in labelled if ratings]
+    texts += [(own_words(t), np.array(n) / sum(n), min(sum(n), 3) / 2) for t, n in labelled if sum(n)]
     parsed = [(s, y, w) for t, y, w in texts if (s := sentences(t))]
     if not parsed:
         raise ValueError("there is nothing to fit on")
@@ -212,11 +212,11 @@ def fit_tables(docs: DataFrame, labels: DataFrame, anchors: DataFrame, max_label
     rater counts once.
     """
     valid = labels.where(F.col("reading_level").between(1, LEVELS) & F.col("doc_id").isNotNull())
-    rated = valid.select("doc_id", "rater", "reading_level").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("reading_level")).alias("ratings"))
+    rated = valid.select("doc_id", "rater", "reading_level").distinct().groupBy("doc_id").agg(*(F.count_if(F.col("reading_level") == i).alias(f"n{i}") for i in range(1, LEVELS + 1)))
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").select("text", "ratings").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").select("text", *(f"n{i}" for i in range(1, LEVELS + 1))).collect()
     fixed = anchors.where(F.col("reading_level").between(1, LEVELS) & F.col("text").isNotNull()).orderBy("reading_level", "text").select("reading_level", "text").collect()
-    return fit([(r[0], r[1]) for r in fixed], [(r["text"] or "", [int(v) for v in r["ratings"]]) for r in rows])
+    return fit([(r[0], r[1]) for r in fixed], [(r["text"] or "", list(r[1:])) for r in rows])
 
 
 def reading_levels(docs: DataFrame, key: str, text: str, model: Model) -> DataFrame:

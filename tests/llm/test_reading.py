@@ -43,14 +43,14 @@ def labelled(n=60, seed=0):
 
 
 def test_fit_and_predict(spark):
-    model = reading.fit(labelled(50), [(t, [level]) for level, t in labelled(50, 1)])
+    model = reading.fit(labelled(50), [(t, [int(level == i) for i in range(1, 6)]) for level, t in labelled(50, 1)])
     rows = [(i, t, "k") for i, (_, t) in enumerate(labelled(40, 2))] + [(100, None, "k"), (101, "", "k"), (102, "> only quoted", "k"), (None, "The cat. The dog.", "k")]
     df = spark.createDataFrame(rows, "id long, body string, reading_level string")
     got = {r["id"]: r for r in reading.reading_levels(df, "id", "body", model).collect()}
     assert sum(got[i]["reading_level"] == level for i, (level, _) in enumerate(labelled(40, 2))) >= 36
     assert all(got[i]["reading_level"] is None and got[i]["n_words"] == 0 for i in (100, 101, 102)) and got[None]["n_sentences"] == 2
     assert reading.reading_levels(df.limit(0), "id", "body", model).collect() == []
-    again = reading.fit(labelled(50), [(t, [level]) for level, t in labelled(50, 1)])
+    again = reading.fit(labelled(50), [(t, [int(level == i) for i in range(1, 6)]) for level, t in labelled(50, 1)])
     assert (again.words.weights == model.words.weights).all() and (again.calibration == model.calibration).all()
     with pytest.raises(ValueError):
         reading.fit([], [])
