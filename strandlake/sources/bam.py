@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from strandlake.sources.bgzf import BgzfReader
+from strandlake.sources.bgzf import END_BLOCK, MOST_BYTES, BgzfReader, compress_block, region_bin
 
 SCHEMA = "read_id string, flag int, contig string, start int, mapq int, cigar string, strand string, seq string, mm string, ml array<int>"
 #: Bases by their four bits, CIGAR operations by code, sizes of tag values by type.
@@ -87,6 +89,53 @@ def parse_record(data: bytes, names: list[str]) -> tuple:
     )
 
 
+def encode_record(row, index: dict[str, int]) -> bytes:
+    """A row of SCHEMA as a record with its size; the sequence goes back to the alignment's orientation."""
+    seq = row["seq"] or ""
+    if row["flag"] & 16:
+        seq = seq.translate(_COMPLEMENT)[::-1]
+    ops = re.findall(rf"(\d+)([{_OPS}])", row["cigar"] or "")
+    span = sum(int(n) for n, o in ops if o in "MDN=X") or 1
+    pos = -1 if row["start"] is None else row["start"]
+    codes = [_BASES.index(c) for c in seq] + [0] * (len(seq) % 2)
+    tags = b""
+    if row["mm"] is not None:
+        tags += b"MMZ" + row["mm"].encode() + b"\0"
+    if row["ml"] is not None:
+        tags += b"MLBC" + struct.pack("<i", len(row["ml"])) + bytes(row["ml"])
+    ref = -1 if row["contig"] is None else index[row["contig"]]
+    name = row["read_id"].encode() + b"\0"
+    where = region_bin(pos, pos + span) if pos >= 0 else 4680
+    body = struct.pack("<iiBBHHHiiii", ref, pos, len(name), row["mapq"] or 0, where, len(ops), row["flag"], len(seq), -1, -1, 0) + name
+    body += b"".join(struct.pack("<I", int(n) << 4 | _OPS.index(o)) for n, o in ops)
+    body += bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2])) + b"\xff" * len(seq) + tags
+    return struct.pack("<i", len(body)) + body
+
+
+def write_bam(reads: DataFrame, path: str, header: str, references: list[tuple[str, int]]) -> None:
+    """One new BAM file, in the frame's order; rows pass the driver one partition at a time, as it is one file.
+
+    Tags other than MM and ML and base qualities aren't part of SCHEMA and so not written.
+    """
+    if not path.endswith(".bam"):
+        raise BamError("the path must end in .bam")
+    index = {n: i for i, (n, _) in enumerate(references)}
+    text = header.encode()
+    data = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(references))
+    for n, size in references:
+        data += struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size)
+    with open(path, "xb") as f:
+        for r in reads.toLocalIterator():
+            data += encode_record(r, index)
+            while len(data) >= MOST_BYTES:
+                f.write(compress_block(data[:MOST_BYTES]))
+                data = data[MOST_BYTES:]
+        while data:
+            f.write(compress_block(data[:MOST_BYTES]))
+            data = data[MOST_BYTES:]
+        f.write(END_BLOCK)
+
+
 def read_records(path: str, begin: int | None = None, end: int | None = None) -> Iterator[tuple]:
     with open(path, "rb") as f:
         r = BgzfReader(f)

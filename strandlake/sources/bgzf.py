@@ -10,8 +10,8 @@ from typing import BinaryIO
 
 #: Block header up to the extra field's size, the empty last block, most bytes of text in a block.
 _HEAD = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff\x06\x00BC\x02\x00"
-_END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
-_MOST = 65280
+END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+MOST_BYTES = 65280
 
 
 class BgzfError(ValueError):
@@ -102,7 +102,7 @@ class BgzfReader:
             yield where, line.decode()
 
 
-def _bin(beg: int, end: int) -> int:
+def region_bin(beg: int, end: int) -> int:
     """Bin of a region in the index's tree of 16 kb to 512 Mb intervals."""
     end -= 1
     for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
@@ -111,11 +111,6 @@ def _bin(beg: int, end: int) -> int:
     return 0
 
 
-def _bins(beg: int, end: int) -> list[int]:
-    end -= 1
-    return [0] + [first + i for shift, first in ((26, 1), (23, 9), (20, 73), (17, 585), (14, 4681)) for i in range(beg >> shift, (end >> shift) + 1)]
-
-
 class PileupWriter:
     """Writes tab-separated pileup lines as BGZF with a tabix index beside the file.
 
@@ -145,7 +140,7 @@ class PileupWriter:
                 continue
             contig, beg, end = line.split("\t", 3)[:3]
             data = line.encode() + b"\n"
-            if len(self.buffer) + len(data) > _MOST:
+            if len(self.buffer) + len(data) > MOST_BYTES:
                 self._flush()
             at = self._tell()
             if not self.names or self.names[-1] != contig:
@@ -155,11 +150,11 @@ class PileupWriter:
                 self.chunks.append({})
                 self.linear.append({})
             self.buffer += data
-            while len(self.buffer) > _MOST:
-                block, self.buffer = self.buffer[:_MOST], self.buffer[_MOST:]
+            while len(self.buffer) > MOST_BYTES:
+                block, self.buffer = self.buffer[:MOST_BYTES], self.buffer[MOST_BYTES:]
                 self.f.write(compress_block(block))
             b, e = int(beg), max(int(end), int(beg) + 1)
-            spans = self.chunks[-1].setdefault(_bin(b, e), [])
+            spans = self.chunks[-1].setdefault(region_bin(b, e), [])
             if spans and spans[-1][1] == at:
                 spans[-1][1] = self._tell()
             else:
@@ -177,7 +172,7 @@ class PileupWriter:
             return
         self.done = True
         self._flush()
-        self.f.write(_END)
+        self.f.write(END_BLOCK)
         self.f.close()
         names = b"".join(n.encode() + b"\0" for n in self.names)
         # format 0x10000: columns 1, 2, 3 hold contig, 0-based start and end; '#' begins comments
@@ -191,8 +186,8 @@ class PileupWriter:
             for w in range(n):
                 last = linear.get(w, last)
                 out += struct.pack("<Q", last)
-        blocks = [out[i : i + _MOST] for i in range(0, len(out), _MOST)]
-        Path(f"{self.path}.tbi").write_bytes(b"".join(map(compress_block, blocks)) + _END)
+        blocks = [out[i : i + MOST_BYTES] for i in range(0, len(out), MOST_BYTES)]
+        Path(f"{self.path}.tbi").write_bytes(b"".join(map(compress_block, blocks)) + END_BLOCK)
 
     def __enter__(self) -> PileupWriter:
         return self

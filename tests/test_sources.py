@@ -182,7 +182,7 @@ def write_bam(path, groups, index):
                 f.write(bgzf.compress_block(r[: len(r) // 2]))
                 f.write(bgzf.compress_block(r[len(r) // 2 :]))
             bai += struct.pack("<iIiQQi", 1, 0, 1, begin, f.tell() << 16, 0) if groups.index(g) < 2 else b""
-        f.write(bgzf._END)
+        f.write(bgzf.END_BLOCK)
     if index:
         open(f"{path}.bai", "wb").write(bai)
 
@@ -204,6 +204,12 @@ def test_bam(spark, tmp_path, index):
     merged = {r.read_id: r.mm for r in api.merge_bam_tags(path, path, ignore=None, rename_source=[_renamed()]).collect()}
     assert merged["f"] == "A+a.,0;A+z.,0;"
     assert cli.main(["methylation-pattern", "read-bam", "-i", path, "-a", _fasta(tmp_path), "-m", "GATC_a_1", "-o", str(tmp_path / "b.tsv")]) == 0
+    again = str(tmp_path / "again.bam")
+    every = readers.read_bam(spark, path, primary_only=False)
+    bam.write_bam(every, again, "@HD\n", [(n, len(x)) for n, x in SEQ.items()])
+    assert sorted(map(str, readers.read_bam(spark, again, primary_only=False).collect())) == sorted(map(str, every.collect()))
+    with pytest.raises(FileExistsError):
+        bam.write_bam(every, again, "", [])
     with pytest.raises(FileNotFoundError):
         bam._Reader(str(tmp_path / "nothing.bam")).partitions()
 
