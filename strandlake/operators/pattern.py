@@ -11,6 +11,7 @@ from strandlake.functions import iupac
 from strandlake.functions.motif import Motif
 from strandlake.operators.pileup import fraction, last_wins
 from strandlake.operators.scan import block_of, motif_blocks, motif_table, occurrences, offset_of
+from strandlake.session import materialize
 
 RAW_COLUMNS = ("contig", "start", "strand", "motif", "mod_type", "mod_position", "n_modified", "n_valid_cov", "n_diff", "n_fail")
 DEGREE_COLUMNS = ("contig", "motif", "mod_type", "mod_position", "methylation_value", "mean_read_cov", "n_motif_obs", "motif_occurences_total")
@@ -54,10 +55,9 @@ def raw(contigs: DataFrame, meth: DataFrame, motifs: list[Motif]) -> DataFrame:
 
 
 def _degrees(contigs: DataFrame, meth: DataFrame, motifs: list[Motif], value: Column) -> DataFrame:
-    blocks = motif_blocks(contigs, motifs)
+    blocks = materialize(motif_blocks(contigs, motifs), "motif-blocks")  # one scan for the observations and the totals
     seen = observations(blocks, meth, motifs).where("n_valid_cov > 0")
     per = seen.groupBy("contig", "motif_id", "motif", "mod_type", "mod_position").agg(value.alias("methylation_value"), F.avg("n_valid_cov").alias("mean_read_cov"), F.count("*").alias("n_motif_obs"))
-    # the totals scan once more, which is cheaper than to keep hits without counts through the join
     total = occurrences(blocks, by_strand=False).withColumnRenamed("n_occurrences", "motif_occurences_total")
     return per.join(total, ["contig", "motif_id"]).select(*DEGREE_COLUMNS)
 
