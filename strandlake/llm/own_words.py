@@ -8,6 +8,7 @@ import re
 _BLOCK = re.compile(r"\[(/?)(quote)\b[^\]\n]{0,200}\]|<(/?)(blockquote)\b[^>\n]{0,200}>", re.I)
 _QUOTED_LINE = re.compile(r"\s*[>|]")
 _ATTRIBUTION = re.compile(r"\s*(?:on [^\n]{0,60}, *)?[^\s,]{1,60} (?:wrote|said|writes) ?:?\s*$", re.I)
+_ATTRIBUTION_ENDS = tuple(":eEdDsS")
 _FRAME_HEAD, _FRAME = re.compile(r"\s*quote from:? ", re.I), re.compile(r"\s*-{5,}\s*$")
 _CODE_OPEN = re.compile(r"\[code\b[^\]\n]{0,80}\]|<(?:pre|code)\b[^>\n]{0,80}>|^\s*```", re.I | re.M)
 _CODE_CLOSE = re.compile(r"\[/code\]|</(?:pre|code)>|^\s*```", re.I | re.M)
@@ -20,11 +21,16 @@ _TAG = re.compile(r"\[/?[a-z*]{1,12}(?:=[^\]\n]{0,200})?\]|</?[a-z][a-z0-9]{0,11
 _BREAK = re.compile(r"<(?:br|/p|/div|/li)\s*/?>", re.I)
 _LINK = re.compile(r"(?:https?://|ftp://|www\.)\S+|\b[\w.-]{1,80}\.(?:example|com|org|net)\b\S*", re.I)
 _PLACEHOLDER = re.compile(r"\W*(?:(?:post|message|comment) )?(?:deleted|removed)(?: by (?:the )?(?:author|moderator|user))?\W*$", re.I)
+_DIGIT = re.compile(r"\d")
+#: One of these is in every link.
+_LINK_MARKS = ("://", "www.", ".example", ".com", ".org", ".net")
 _BASES = re.compile(r"\b[ACGTUN]{12,}\b", re.I)
 _ZERO_WIDTH = dict.fromkeys(map(ord, "​‌‍﻿­"))
 
 
 def _without_code(text: str) -> str:
+    if not ("[" in text or "<" in text or "```" in text):
+        return text
     out, at = [], 0
     while m := _CODE_OPEN.search(text, at):
         out.append(text[at : m.start()])
@@ -42,7 +48,7 @@ def _without_quotes(text: str) -> str:
     tags, so a closing tag that no other one follows at once ends them all.
     """
     lines = text.split("\n")
-    tags = [((m.group(2) or m.group(4)).lower(), bool(m.group(1) or m.group(3))) for line in lines if not _QUOTED_LINE.match(line) for m in _BLOCK.finditer(line)]
+    tags = [] if "[" not in text and "<" not in text else [((m.group(2) or m.group(4)).lower(), bool(m.group(1) or m.group(3))) for line in lines if not _QUOTED_LINE.match(line) for m in _BLOCK.finditer(line)]
     paired = {kind: 2 * sum(c for k, c in tags if k == kind) == sum(k == kind for k, _ in tags) for kind in ("quote", "blockquote")}
     seen = 0
     out: list[str] = []
@@ -60,7 +66,7 @@ def _without_quotes(text: str) -> str:
         if not quoted:
             inner = []
         kept, at = [], 0
-        for m in _BLOCK.finditer(line):
+        for m in _BLOCK.finditer(line) if "[" in line or "<" in line else ():
             if not quoted and not stack:
                 kept.append(line[at : m.start()])
             at = m.end()
@@ -79,15 +85,16 @@ def _without_quotes(text: str) -> str:
         if not stack and (not quoted or within):  # a quote may end on a quoted line
             kept.append(line[at:])
         rest = " ".join(kept)
-        follows = next((x for x in lines[i + 1 : i + 3] if x.strip()), "")
-        if not (_ATTRIBUTION.match(rest) and (_QUOTED_LINE.match(follows) or _BLOCK.match(follows.lstrip()))):
+        may = rest and rest.rstrip()[-1:] in _ATTRIBUTION_ENDS
+        follows = next((x for x in lines[i + 1 : i + 3] if x.strip()), "") if may else ""
+        if not (may and _ATTRIBUTION.match(rest) and (_QUOTED_LINE.match(follows) or _BLOCK.match(follows.lstrip()))):
             out.append(rest)
         i += 1
     return "\n".join(out)
 
 
 def _without_signature(text: str) -> str:
-    lines = _SIG_TAG.sub("\n", text).rstrip().split("\n")
+    lines = (_SIG_TAG.sub("\n", text) if "[" in text else text).rstrip().split("\n")
     for i in range(max(0, len(lines) - _SIGN_LINES - 1), len(lines)):
         if _SIGN.match(lines[i]):
             return "\n".join(lines[:i])
@@ -98,6 +105,8 @@ def _is_data(line: str) -> bool:
     """A line of pasted numbers or columns rather than prose."""
     if line.count("\t") >= 2:
         return True
+    if not _DIGIT.search(line):
+        return False
     letters, digits = sum(c.isalpha() for c in line), sum(c.isdigit() for c in line)
     return letters + digits > 0 and digits > letters
 
@@ -106,10 +115,17 @@ def own_words(text: str | None) -> str:
     """The post's own prose, by lines; '' if there is none."""
     if not text or not text.strip():
         return ""
-    text = text.replace("\r\n", "\n").replace("\r", "\n").translate(_ZERO_WIDTH)
-    text = _without_signature(_without_quotes(_without_code(text) if not _CODE_IN_QUOTE.search(text) else _without_code(_without_quotes(text))))
-    text = _TAG.sub(" ", _BREAK.sub("\n", _EDITED.sub(" ", text)))
-    text = _BASES.sub(" ", _LINK.sub(" ", html.unescape(text).replace("\xa0", " ")))
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if not text.isascii():
+        text = text.translate(_ZERO_WIDTH)
+    text = _without_signature(_without_quotes(_without_code(text) if not _code_in_quote(text) else _without_code(_without_quotes(text))))
+    if "[" in text or "<" in text:
+        text = _TAG.sub(" ", _BREAK.sub("\n", _EDITED.sub(" ", text)))
+    text = html.unescape(text).replace("\xa0", " ")
+    low = text.lower()
+    if any(mark in low for mark in _LINK_MARKS):
+        text = _LINK.sub(" ", text)
+    text = _BASES.sub(" ", text)
     lines = [line.strip() for line in text.split("\n")]
     lines = [line for line in lines if line and not _is_data(line) and not _PLACEHOLDER.match(line)]
     return "\n".join(line for line in lines if any(c.isalpha() for c in line))
@@ -117,3 +133,7 @@ def own_words(text: str | None) -> str:
 
 #: Code opened on a quoted line is part of the quote and may be cut off with it: then quotes go first.
 _CODE_IN_QUOTE = re.compile(r"^\s*[>|][^\n]*(?:\[code\b|<(?:pre|code)\b|```)", re.I | re.M)
+
+
+def _code_in_quote(text: str) -> bool:
+    return ("[" in text or "<" in text or "```" in text) and bool(_CODE_IN_QUOTE.search(text))

@@ -63,7 +63,7 @@ class Linear:
         return self.__dict__ | {"_known": {}, "_rows": np.zeros((0, LEVELS), dtype=np.float32)}
 
     def units(self, words: list[str]) -> list[str]:
-        return words if self.kind == "characters" else words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        return words if self.kind == "characters" else [*words, *map(" ".join, zip(words, words[1:]))]
 
     def features(self, unit: str) -> list[int]:
         return character_features(unit) if self.kind == "characters" else [_hash(unit)]
@@ -109,18 +109,20 @@ class Linear:
         """Of each sentence. A unit's weights are looked up once and kept, up to a bound."""
         if len(self._known) > _CACHE:
             self._known.clear()
-        known, ids, sizes = self._known, [], []
+        known, units, sizes = self._known, [], []
         for words in rows:
-            units = self.units(words)
-            sizes.append(len(units))
+            found = self.units(words)
+            sizes.append(len(found))
+            units += found
+        ids = list(map(known.get, units))
+        if None in ids:
             for u in units:
-                i = known.get(u)
-                if i is None:
+                if u not in known:
                     i = known[u] = len(known)
                     if i >= len(self._rows):
                         self._rows = np.concatenate((self._rows, np.zeros((max(1024, i), LEVELS), dtype=np.float32)))
                     self._rows[i] = self.weights[self.features(u)].mean(axis=0)
-                ids.append(i)
+            ids = list(map(known.get, units))
         n = np.array(sizes)
         starts = np.concatenate(([0], np.cumsum(n)[:-1]))
         return np.add.reduceat(self._rows[ids], starts, axis=0) * (SCALE / n)[:, None] + self.bias
@@ -157,6 +159,11 @@ class Model:
         return x[:LEVELS] if self.calibration is None else _softmax((x @ self.calibration)[None])[0]
 
 
+def middle_level(p: np.ndarray) -> int:
+    """The level that splits a distribution in half."""
+    return int(np.searchsorted(np.cumsum(p), 0.5 * p.sum())) + 1
+
+
 def _fit_sentences(docs: list[list[list[str]]], targets: np.ndarray, weight: np.ndarray) -> Model:
     rows = [s for d in docs for s in d]
     owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
@@ -222,7 +229,8 @@ def fit_tables(docs: DataFrame, labels: DataFrame, anchors: DataFrame, max_label
 def reading_levels(docs: DataFrame, key: str, text: str, model: Model) -> DataFrame:
     """The level of each document's own words.
 
-    Columns: ``key`` (as given), ``reading_level`` 1 to 5, ``difficulty`` (mean
+    Columns: ``key`` (as given), ``reading_level`` 1 to 5 (the middle of the
+    calibrated distribution), ``difficulty`` (mean
     level of the calibrated distribution), ``n_sentences``, ``n_words``. A text
     without own words, also null or empty, has null level and difficulty and no
     sentences. Every row gives one row; repeated rows and null keys are kept.
@@ -236,7 +244,7 @@ def reading_levels(docs: DataFrame, key: str, text: str, model: Model) -> DataFr
             rows = sentences(own_words(t))
             if rows:
                 p = m.document_distribution(rows)
-                out.append((int(p.argmax()) + 1, float(p @ np.arange(1, LEVELS + 1)), len(rows), sum(map(len, rows))))
+                out.append((middle_level(p), float(p @ np.arange(1, LEVELS + 1)), len(rows), sum(map(len, rows))))
             else:
                 out.append((None, None, 0, 0))
         frame = pd.DataFrame(out, columns=["reading_level", "difficulty", "n_sentences", "n_words"])
