@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandlake import __version__
 from strandlake.functions.motif import collapse_children, parse_motifs
+from strandlake.functions.text import stripped
 from strandlake.operators import pattern, pileup, reads, tags
 from strandlake.operators.pattern import Output as MethylationOutput
 from strandlake.sources import readers, writers
@@ -65,7 +66,7 @@ def methylation_pattern(pileup_path, assembly, motifs: list[str], output_type="m
         known = known.where(F.col("contig").isin(*contigs))
     rows = readers.read_pileup(s, str(pileup_path))
     if contigs is not None:
-        rows = rows.where(F.col("contig").isin(*contigs))
+        rows = rows.where(stripped(F.col("contig")).isin(*contigs))
     pileup.check_contigs(rows, known, "indexed" if str(pileup_path).endswith("gz") else "sequential", allow_assembly_pileup_mismatch)
     result = _pattern(known, rows, motifs, output_type, min_valid_read_coverage, min_valid_cov_to_diff_fraction)
     if output:

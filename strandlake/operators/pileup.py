@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.iupac import MOD_TYPES
-from strandlake.functions.text import stripped
+from strandlake.functions.text import WHITESPACE, stripped
 
 #: The columns of a pileup, in order.
 COLUMNS = (
@@ -77,22 +77,31 @@ def fraction(modified: Column, valid: Column) -> Column:
     return F.try_divide(modified.cast("double"), valid.cast("double"))
 
 
-def list_contigs(pileup: DataFrame) -> DataFrame:
-    return pileup.select("contig").distinct()
+def _name(column: str, exact: bool) -> Column:
+    return F.col(column) if exact else stripped(F.col(column))
 
 
-def query_contigs(pileup: DataFrame, contigs: list[str], columns: list[str] | None = None, order: str | None = None) -> DataFrame:
+def list_contigs(pileup: DataFrame, exact: bool = False) -> DataFrame:
+    """Distinct stripped contigs; with ``exact`` the names as they stand."""
+    return pileup.select(_name("contig", exact).alias("contig")).distinct()
+
+
+def query_contigs(pileup: DataFrame, contigs: list[str], columns: list[str] | None = None, order: str | None = None, exact: bool = False) -> DataFrame:
     """Rows of the requested contigs, in the order of the request.
 
-    A contig requested twice gives its rows twice; an unknown one is an error.
-    Only the requested columns are read. ``order``: column of the file order.
+    Contigs are stripped on both sides; with ``exact`` only rows whose raw
+    name is the requested one are found. A contig requested twice gives its
+    rows twice; an unknown one is an error. Only the requested columns are
+    read. ``order``: column of the file order.
     """
     wanted = list(columns or COLUMNS)
     unknown = [c for c in wanted if c not in COLUMNS]
     if unknown:
         raise PileupError(f"unknown pileup columns: {unknown}")
+    if not exact:
+        contigs = [c.strip(WHITESPACE) for c in contigs]
     asked = sorted(set(contigs))
-    rows = pileup.where(F.col("contig").isin(asked))
+    rows = (pileup if exact else pileup.withColumn("contig", stripped(F.col("contig")))).where(F.col("contig").isin(asked))
     if asked:
         missing = set(asked) - {r[0] for r in rows.select("contig").distinct().collect()}
         if missing:
@@ -103,9 +112,9 @@ def query_contigs(pileup: DataFrame, contigs: list[str], columns: list[str] | No
     return found.orderBy("_request", "_file").select(*wanted)
 
 
-def not_in(left: DataFrame, right: DataFrame, key: str = "contig", other: str = "contig") -> DataFrame:
-    """Distinct keys of ``left`` that ``right`` doesn't have."""
-    return left.select(key).where(F.col(key).isNotNull()).distinct().join(right.select(F.col(other).alias(key)).distinct(), key, "left_anti")
+def not_in(left: DataFrame, right: DataFrame, key: str = "contig", other: str = "contig", exact: bool = False) -> DataFrame:
+    """Distinct stripped keys of ``left`` that ``right`` doesn't have; with ``exact`` both are compared as they stand."""
+    return left.select(_name(key, exact).alias(key)).where(F.col(key).isNotNull()).distinct().join(right.select(_name(other, exact).alias(key)).distinct(), key, "left_anti")
 
 
 def check_contigs(pileup: DataFrame, assembly: DataFrame, kind: str, allow_mismatch: bool) -> None:

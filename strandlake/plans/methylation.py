@@ -80,23 +80,28 @@ REQUEST = ("spike_03", "spike_01", "spike_03")
 
 
 def pileup_query_contigs(spark: SparkSession, d: str) -> DataFrame:
-    return pileup.query_contigs(pileup_rows(spark, d), list(REQUEST), order="row_id")
+    """Rows of the requested contigs. Raw names, exactly, as in the SQL."""
+    return pileup.query_contigs(pileup_rows(spark, d), list(REQUEST), order="row_id", exact=True)
 
 
 def pileup_projection(spark: SparkSession, d: str) -> DataFrame:
-    return pileup.query_contigs(pileup_rows(spark, d), list(REQUEST), ["contig", "start", "score"], order="row_id")
+    """Three columns of the requested contigs. Raw names, exactly, as in the SQL."""
+    return pileup.query_contigs(pileup_rows(spark, d), list(REQUEST), ["contig", "start", "score"], order="row_id", exact=True)
 
 
 def pileup_list_contigs(spark: SparkSession, d: str) -> DataFrame:
-    return pileup.list_contigs(pileup_rows(spark, d))
+    """Contigs of the pileup. Raw names, exactly, as in the SQL."""
+    return pileup.list_contigs(pileup_rows(spark, d), exact=True)
 
 
 def pileup_missing_in_assembly(spark: SparkSession, d: str) -> DataFrame:
-    return pileup.not_in(pileup_rows(spark, d), assembly(spark, d))
+    """Contigs of the pileup that the assembly lacks. Raw names, exactly, as in the SQL."""
+    return pileup.not_in(pileup_rows(spark, d), assembly(spark, d), exact=True)
 
 
 def assembly_missing_in_pileup(spark: SparkSession, d: str) -> DataFrame:
-    return pileup.not_in(assembly(spark, d), pileup_rows(spark, d))
+    """Contigs of the assembly that the pileup lacks. Raw names, exactly, as in the SQL."""
+    return pileup.not_in(assembly(spark, d), pileup_rows(spark, d), exact=True)
 
 
 def sequence_revcomp(spark: SparkSession, d: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strandlake.functions import modtags
 from strandlake.functions.iupac import check_letters, is_plain
+from strandlake.functions.text import WHITESPACE
 from strandlake.operators.pileup import COLUMNS, SCHEMA, PileupError, check_mod_types
 from strandlake.sources.bam import BamSource, reference_names
 from strandlake.sources.bgzf import BgzfReader, read_index
@@ -82,10 +83,12 @@ def read_indexed_pileup(spark: SparkSession, path: str, contigs: list[str]) -> D
     """Rows of some contigs of a BGZF pileup through its tabix index: only their blocks are read, one task per contig."""
     path = path.removeprefix("file://")
     index = read_index(path)
-    missing = [c for c in contigs if c not in index]
+    asked = {c.strip(WHITESPACE) for c in contigs}
+    found = [c for c in index if c.strip(WHITESPACE) in asked]
+    missing = asked - {c.strip(WHITESPACE) for c in found}
     if missing:
         raise PileupError(f"contigs not in the pileup: {sorted(missing)}")
-    spans = spark.createDataFrame([(c, *index[c]) for c in dict.fromkeys(contigs)], "contig string, a long, b long").repartition(max(1, len(set(contigs))))
+    spans = spark.createDataFrame([(c, *index[c]) for c in found], "contig string, a long, b long").repartition(max(1, len(found)))
 
     def fetch(batches):
         import pandas as pd
