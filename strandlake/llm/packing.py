@@ -86,19 +86,43 @@ def plan_containers(counts: np.ndarray, capacity: int = CAPACITY) -> list[Patter
         sums = _pair_sums(left > 0) if left[size] else None
         while left[size] and (found := _exact(left, size, capacity - size, sums)) is not None:
             use(Counter((size, *found)))
-    while left.any():
-        gap, sizes = capacity, Counter()
-        while (fit := np.flatnonzero(left[: gap + 1])).size:
-            s = next((int(x) for x in fit[::-1] if left[x] > sizes[int(x)]), 0)
-            if not s:
-                break
-            k = min(int(left[s]) - sizes[s], gap // s)
-            sizes[s] += k
-            gap -= k * s
-        use(sizes)
+    out += _best_fit(left, capacity)
     return out
 
 
+def _best_fit(left: np.ndarray, capacity: int) -> list[Pattern]:
+    """Best fit decreasing: each item, largest first, goes into the open container with the least gap that holds it.
+
+    Containers of one content are one group, kept by their gap. An item leaves
+    its container the least gap of all, so the next of its size follows it
+    while there is room: a container takes as many of a size as fit, and only
+    the last one fewer.
+    """
+    groups: list[list[tuple[Counter, int]]] = [[] for _ in range(capacity + 1)]
+    gaps = np.zeros(capacity + 1, dtype=bool)
+
+    def put(gap: int, sizes: Counter, times: int) -> None:
+        groups[gap].append((sizes, times))
+        gaps[gap] = True
+
+    for size in np.flatnonzero(left)[::-1].tolist():
+        n = int(left[size])
+        while n:
+            least = int(np.argmax(gaps[size:])) + size
+            if gaps[least]:
+                sizes, times = groups[least].pop()
+                gaps[least] = bool(groups[least])
+            else:
+                least, sizes, times = capacity, Counter(), max(1, n // (capacity // size))
+            k = min(n, least // size)
+            filled = min(times, n // k)
+            n -= filled * k
+            put(least - k * size, sizes + Counter({size: k}), filled)
+            if times > filled:
+                put(least, sizes, times - filled)
+    return [Pattern(dict(sizes), times) for g in groups for sizes, times in g]
+
+
 class _Slots:
     """For each size the ranks that each pattern takes, to find a rank's container by binary search."""
 

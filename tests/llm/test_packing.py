@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.llm.packing import _Slots, fill_report, pack, plan_containers
+from strandlake.llm.packing import _best_fit, _Slots, fill_report, pack, plan_containers
 
 
 def check_plan(counts, capacity):
@@ -42,6 +42,29 @@ def test_random_plans(seed):
     assert containers * capacity < 2 * total + capacity  # no two containers could share one
 
 
+def test_rest_goes_where_the_gap_is_least():
+    """2 fits the first container, with 60 in it, but leaves less room in the second, with 55 and 42."""
+    counts = np.bincount([60, 55, 42, 2], minlength=101)
+    assert sorted(tuple(sorted(p.sizes)) for p in check_plan(counts, 100)) == [(2, 42, 55), (60,)]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_best_fit_of_single_items(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([5, 12, 30, 64])
+    left = np.array([0] + [rng.choice([0, 0, 0, 1, 2, 7]) for _ in range(capacity)])
+    open_containers = []
+    for s in range(capacity, 0, -1):
+        for _ in range(left[s]):
+            fitting = [i for i, used in enumerate(open_containers) if used + s <= capacity]
+            if fitting:
+                open_containers[max(fitting, key=lambda i: open_containers[i])] += s
+            else:
+                open_containers.append(s)
+    got = [sum(s * k for s, k in p.sizes.items()) for p in _best_fit(left, capacity) for _ in range(p.times)]
+    assert sorted(got) == sorted(open_containers)
+
+
 def test_slots_number_each_item_once():
     counts = np.array([3, 5, 4, 9, 0, 2, 1, 0, 1])
     slots = _Slots(plan_containers(counts, 8), 8)
