@@ -137,7 +137,11 @@ def motif_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tagged_reads(spark: SparkSession, d: str) -> DataFrame:
-    """One long read per loaded contig, with tags and an alignment made from its row number."""
+    """One long read per loaded contig, with tags and an alignment made from its row number.
+
+    As in the SQL each segment has 12 calls whatever the length, so only the
+    start of a read is called.
+    """
     rows = spread(table(spark, d, "contigs")).select(F.col("contig_row").alias("r"), stripped(F.col("id")).alias("contig"), clean_sequence(F.col("sequence")).alias("s")).where("length(s) > 0 and contig <> ''")
     n, clip = F.length("s"), 5 + F.col("r") % 7
     skips = lambda e: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), e), ",")
