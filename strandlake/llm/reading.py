@@ -40,7 +40,7 @@ def _hash(feature: str) -> int:
 
 
 def character_features(word: str) -> list[int]:
-    w = f"^{word[:64]}$"
+    w = f"^{word}$"
     return [_hash(w[i : i + n]) for n in (2, 3, 4, 5) for i in range(len(w) - n + 1)]
 
 

@@ -83,3 +83,9 @@ def test_tokens(spark):
     texts = [None, "", "Hello world", "<|endoftext|>", "a" * 100_000]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(n_tokens(F.col("t"))).collect()]
     assert got[:3] == [0, 0, 2] and got[3] > 1 and got[4] > 1000
+
+
+def test_long_words_keep_their_end():
+    start = "a" * 64
+    assert len(reading.character_features(start + "xyz")) > len(reading.character_features(start))
+    assert reading.character_features(start + "xyz") != reading.character_features(start + "ions")
