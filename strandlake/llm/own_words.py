@@ -13,7 +13,9 @@ _FRAME_HEAD, _FRAME = re.compile(r"\s*quote from:? ", re.I), re.compile(r"\s*-{5
 _CODE_OPEN = re.compile(r"\[code\b[^\]\n]{0,80}\]|<(?:pre|code)\b[^>\n]{0,80}>|^\s*```", re.I | re.M)
 _CODE_CLOSE = re.compile(r"\[/code\]|</(?:pre|code)>|^\s*```", re.I | re.M)
 _SIGN = re.compile(r"(?:--\s*|_{5,}\s*|~ .{1,80} ~\s*)$")
-#: A signature has at most this many lines after its mark; a mark higher up is only a separator.
+#: The delimiter of signatures, at any distance from the end.
+_DELIMITER = "-- "
+#: After any other mark a signature has at most this many lines; such a mark higher up is only a separator.
 _SIGN_LINES = 8
 _SIG_TAG = re.compile(r"\[sig\b[^\]\n]{0,80}\](.*?)\[/sig\]", re.I | re.S)
 _EDITED = re.compile(r"\[size=\d{1,3}\]\s*edited[^\[\n]{0,80}\[/size\]", re.I)
@@ -95,8 +97,9 @@ def _without_quotes(text: str) -> str:
 
 def _without_signature(text: str) -> str:
     lines = (_SIG_TAG.sub("\n", text) if "[" in text else text).rstrip().split("\n")
-    for i in range(max(0, len(lines) - _SIGN_LINES - 1), len(lines)):
-        if _SIGN.match(lines[i]):
+    near = len(lines) - _SIGN_LINES - 1
+    for i, line in enumerate(lines):
+        if line == _DELIMITER or (i >= near and _SIGN.match(line)):
             return "\n".join(lines[:i])
     return "\n".join(lines)
 

@@ -89,3 +89,9 @@ def test_long_words_keep_their_end():
     start = "a" * 64
     assert len(reading.character_features(start + "xyz")) > len(reading.character_features(start))
     assert reading.character_features(start + "xyz") != reading.character_features(start + "ions")
+
+
+def test_long_signatures():
+    sign = "\n".join(f"motto {'abcdefghijkl'[i]}" for i in range(12))
+    assert own_words(f"Mine.\n-- \n{sign}") == "Mine."
+    assert own_words(f"Mine.\n--\n{sign}").endswith("motto l")  # only a separator
