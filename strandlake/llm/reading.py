@@ -180,19 +180,21 @@ def _calibrate(x: np.ndarray, targets: np.ndarray, weight: np.ndarray, penalty:
     return w
 
 
-def fit(anchors: list[tuple[int, str]], labelled: list[tuple[str, list[int]]], seed: int = 0) -> Model:
+def fit(anchors: list[tuple[int, str]], labelled: list[tuple[str, list[int]]], seed: int = 0, max_sentences: int = MAX_SENTENCES) -> Model:
     """Fit on anchor passages (level, text) and labelled texts (text, number of ratings at each of the five levels).
 
     The calibration is fitted on documents that the sentence models haven't
-    seen: two halves are predicted by models of the other half. Ratings of one
-    text are averaged, so that raters who err weigh little.
+    seen: two halves are predicted by models of the other half. The sentence
+    models take at most ``max_sentences`` of a text; the calibration takes all,
+    as scoring does. Ratings of one text are averaged, so that raters who err
+    weigh little.
     """
     texts = [(t, np.bincount([level - 1], minlength=LEVELS).astype(float), 3.0) for level, t in anchors]
     texts += [(own_words(t), np.array(n) / sum(n), min(sum(n), 3) / 2) for t, n in labelled if sum(n)]
     parsed = [(s, y, w) for t, y, w in texts if (s := sentences(t))]
     if not parsed:
         raise ValueError("there is nothing to fit on")
-    docs = [_spaced(s) for s, _, _ in parsed]
+    docs = [_spaced(s, max_sentences) for s, _, _ in parsed]
     targets, weight = np.array([y for _, y, _ in parsed]), np.array([w for _, _, w in parsed])
     model = _fit_sentences(docs, targets, weight)
     half = np.random.default_rng(seed).permutation(len(docs)) % 2
@@ -202,20 +204,20 @@ def fit(anchors: list[tuple[int, str]], labelled: list[tuple[str, list[int]]], s
             own, other = np.flatnonzero(half == h), np.flatnonzero(half != h)
             m = _fit_sentences([docs[i] for i in other], targets[other], weight[other])
             for i in own:
-                x[i] = m.document_features(docs[i])
+                x[i] = m.document_features(parsed[i][0])
         model.calibration = _calibrate(x, targets, weight)
     return model
 
 
-def _spaced(rows: list[list[str]]) -> list[list[str]]:
-    """At most MAX_SENTENCES sentences, evenly spaced over the text."""
-    return rows if len(rows) <= MAX_SENTENCES else [rows[i] for i in np.linspace(0, len(rows) - 1, MAX_SENTENCES).astype(int)]
+def _spaced(rows: list[list[str]], most: int) -> list[list[str]]:
+    """At most ``most`` sentences, evenly spaced over the text."""
+    return rows if len(rows) <= most else [rows[i] for i in np.linspace(0, len(rows) - 1, most).astype(int)]
 
 
-def fit_tables(docs: DataFrame, labels: DataFrame, anchors: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
+def fit_tables(docs: DataFrame, labels: DataFrame, anchors: DataFrame, max_labelled: int = MAX_LABELLED, max_sentences: int = MAX_SENTENCES) -> Model:
     """Fit on the tables: all anchors (a small fixed table) and at most ``max_labelled`` labelled documents, chosen by hash of their id.
 
-    Labels that are null or outside 1 to 5 are left out; a repeated label of one
+    ``max_sentences``: of each text, for the sentence models only. Labels that are null or outside 1 to 5 are left out; a repeated label of one
     rater counts once.
     """
     valid = labels.where(F.col("reading_level").between(1, LEVELS) & F.col("doc_id").isNotNull())
@@ -223,7 +225,7 @@ def fit_tables(docs: DataFrame, labels: DataFrame, anchors: DataFrame, max_label
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").select("text", *(f"n{i}" for i in range(1, LEVELS + 1))).collect()
     fixed = anchors.where(F.col("reading_level").between(1, LEVELS) & F.col("text").isNotNull()).orderBy("reading_level", "text").select("reading_level", "text").collect()
-    return fit([(r[0], r[1]) for r in fixed], [(r["text"] or "", list(r[1:])) for r in rows])
+    return fit([(r[0], r[1]) for r in fixed], [(r["text"] or "", list(r[1:])) for r in rows], max_sentences=max_sentences)
 
 
 def reading_levels(docs: DataFrame, key: str, text: str, model: Model) -> DataFrame:

@@ -95,3 +95,14 @@ def test_long_signatures():
     sign = "\n".join(f"motto {'abcdefghijkl'[i]}" for i in range(12))
     assert own_words(f"Mine.\n-- \n{sign}") == "Mine."
     assert own_words(f"Mine.\n--\n{sign}").endswith("motto l")  # only a separator
+
+
+def test_calibration_reads_all_sentences(monkeypatch):
+    """The sentence models take a bounded sample of a text, the calibration all of it, as scoring does."""
+    seen, fitted = [], []
+    features, fit_sentences = reading.Model.document_features, reading._fit_sentences
+    monkeypatch.setattr(reading.Model, "document_features", lambda self, rows: seen.append(len(rows)) or features(self, rows))
+    monkeypatch.setattr(reading, "_fit_sentences", lambda docs, *a: fitted.extend(map(len, docs)) or fit_sentences(docs, *a))
+    long = [(" ".join([t] * 10), [int(level == i) for i in range(1, 6)]) for level, t in labelled(20, 1)]  # 40 sentences each
+    assert reading.fit(labelled(20), long, max_sentences=6).calibration is not None
+    assert sorted(seen) == [4] * 20 + [40] * 20 and max(fitted) == 6
