@@ -196,8 +196,8 @@ class PileupWriter:
         self.finish()
 
 
-def read_index(path: str | Path) -> dict[str, tuple[int, int]]:
-    """Per contig of a tabix index the virtual offsets where its rows begin and end."""
+def _indexed(path: str | Path) -> Iterator[tuple[str, list[tuple[int, int]], list[int]]]:
+    """(contig, chunks, linear offsets) of a tabix index, all virtual; contigs without rows are left out."""
     with open(f"{path}.tbi", "rb") as f:
         data = b""
         while (block := read_block(f)) is not None:
@@ -205,7 +205,7 @@ def read_index(path: str | Path) -> dict[str, tuple[int, int]]:
     if data[:4] != b"TBI\1":
         raise BgzfError("not a tabix index")
     n, *_, size = struct.unpack("<8i", data[4:36])
-    names, at, out = data[36 : 36 + size].split(b"\0"), 36 + size, {}
+    names, at = data[36 : 36 + size].split(b"\0"), 36 + size
     for name in names[:n]:
         (n_bins,) = struct.unpack_from("<i", data, at)
         at += 4
@@ -217,7 +217,29 @@ def read_index(path: str | Path) -> dict[str, tuple[int, int]]:
                 spans += [struct.unpack_from("<QQ", data, at + 16 * i) for i in range(n_chunks)]
             at += 16 * n_chunks
         (n_linear,) = struct.unpack_from("<i", data, at)
+        linear = list(struct.unpack_from(f"<{n_linear}Q", data, at + 4))
         at += 4 + 8 * n_linear
         if spans:
-            out[name.decode()] = min(s[0] for s in spans), max(s[1] for s in spans)
+            yield name.decode(), spans, linear
+
+
+def read_index(path: str | Path) -> dict[str, tuple[int, int]]:
+    """Per contig of a tabix index the virtual offsets where its rows begin and end."""
+    return {name: (min(s[0] for s in spans), max(s[1] for s in spans)) for name, spans, _ in _indexed(path)}
+
+
+def index_parts(path: str | Path, least_bytes: int) -> dict[str, list[tuple[int, int]]]:
+    """The same cut into parts, each of at least ``least_bytes`` of the file but the last.
+
+    Cuts lie where the index has a chunk or a linear interval begin, so every
+    line is in one part.
+    """
+    out = {}
+    for name, spans, linear in _indexed(path):
+        first, last = min(s[0] for s in spans), max(s[1] for s in spans)
+        ends = [first]
+        for cut in sorted({s[0] for s in spans} | set(linear)):
+            if first < cut < last and (cut >> 16) - (ends[-1] >> 16) >= least_bytes:
+                ends.append(cut)
+        out[name] = list(zip(ends, [*ends[1:], last]))
     return out

@@ -7,7 +7,9 @@ import gzip
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -17,7 +19,7 @@ from strandlake.functions.iupac import check_letters, is_plain
 from strandlake.functions.text import WHITESPACE
 from strandlake.operators.pileup import COLUMNS, SCHEMA, PileupError, check_mod_types
 from strandlake.sources.bam import BamSource, reference_names
-from strandlake.sources.bgzf import BgzfReader, read_index
+from strandlake.sources.bgzf import BgzfReader, index_parts, read_index
 
 
 def read_fasta(spark: SparkSession, path: str, ids: list[str] | None = None) -> DataFrame:
@@ -79,25 +81,34 @@ def pileup_from_frame(rows: DataFrame) -> DataFrame:
     return rows.select(*COLUMNS, *(["_order"] if "_order" in rows.columns else [F.monotonically_increasing_id().alias("_order")]))
 
 
-def read_indexed_pileup(spark: SparkSession, path: str, contigs: list[str]) -> DataFrame:
-    """Rows of some contigs of a BGZF pileup through its tabix index: only their blocks are read, one task per contig."""
+def _frames(path: str, contig: str, begin: int, end: int, most: int) -> Iterator[pd.DataFrame]:
+    """Lines of a contig between two virtual offsets, at most so many in a frame."""
+    with open(path, "rb") as f:
+        found = ((v, line) for v, line in BgzfReader(f, begin).lines(end) if line.split("\t", 1)[0] == contig)
+        while rows := list(islice(found, most)):
+            yield pd.DataFrame(rows, columns=["_order", "line"])
+
+
+def read_indexed_pileup(spark: SparkSession, path: str, contigs: list[str], part_bytes: int = 8 << 20, frame_rows: int = 20_000) -> DataFrame:
+    """Rows of some contigs of a BGZF pileup through its tabix index: only their blocks are read.
+
+    A contig is cut into tasks of about ``part_bytes`` of the file, as far as
+    its index has offsets to cut at, and a task holds ``frame_rows`` lines at once.
+    """
     path = path.removeprefix("file://")
-    index = read_index(path)
+    index = index_parts(path, part_bytes)
     asked = {c.strip(WHITESPACE) for c in contigs}
     found = [c for c in index if c.strip(WHITESPACE) in asked]
     missing = asked - {c.strip(WHITESPACE) for c in found}
     if missing:
         raise PileupError(f"contigs not in the pileup: {sorted(missing)}")
-    spans = spark.createDataFrame([(c, *index[c]) for c in found], "contig string, a long, b long").repartition(max(1, len(found)))
+    parts = [(c, *part) for c in found for part in index[c]]
+    spans = spark.createDataFrame(parts, "contig string, a long, b long").repartition(max(1, len(parts)))
 
     def fetch(batches):
-        import pandas as pd
-
         for pdf in batches:
             for c, a, b in pdf.itertuples(index=False):
-                with open(path, "rb") as f:
-                    rows = [(v, line) for v, line in BgzfReader(f, a).lines(b) if line.split("\t", 1)[0] == c]
-                yield pd.DataFrame(rows, columns=["_order", "line"])
+                yield from _frames(path, c, a, b, frame_rows)
 
     lines = spans.mapInPandas(fetch, "_order long, line string")
     parts = F.split("line", "\t")

@@ -1,0 +1,41 @@
+"""A large contig of an indexed pileup is read in parts and frames of bounded size."""
+
+import pytest
+
+from strandlake.sources import readers
+from strandlake.sources.bgzf import BgzfReader, PileupWriter, index_parts, read_index
+from tests.test_sources import pileup_line
+
+ROWS = 20_000
+
+
+@pytest.fixture(scope="module")
+def path(tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("indexed") / "p.bed.gz")
+    with PileupWriter(path) as w:
+        w.write_lines([pileup_line("a", 5), *(pileup_line("big", 40 * i) for i in range(ROWS)), pileup_line("c", 7)])
+    return path
+
+
+@pytest.mark.parametrize("least", [1, 20_000, 1 << 30])
+def test_parts_hold_each_line_once(path, least):
+    parts = index_parts(path, least)
+    assert {c: (p[0][0], p[-1][1]) for c, p in parts.items()} == read_index(path)
+    assert len(parts["a"]) == 1 and (len(parts["big"]) > 3 if least < 1 << 30 else len(parts["big"]) == 1)
+    got = [line for a, b in parts["big"] for frame in readers._frames(path, "big", a, b, 700) for line in frame["line"]]
+    assert got == [pileup_line("big", 40 * i) for i in range(ROWS)]
+
+
+def test_frames_are_bounded(path):
+    ((a, b),) = index_parts(path, 1 << 30)["big"]
+    sizes = [len(f) for f in readers._frames(path, "big", a, b, 700)]
+    assert max(sizes) == 700 and sum(sizes) == ROWS
+    with open(path, "rb") as f:
+        assert len(list(BgzfReader(f, a).lines(b))) == ROWS
+
+
+def test_large_contig_in_many_tasks(spark, path):
+    rows = readers.read_indexed_pileup(spark, path, ["big", "a"], part_bytes=20_000, frame_rows=700)
+    assert rows.rdd.getNumPartitions() > 4
+    got = [(r.contig, r.start) for r in rows.orderBy("_order").select("contig", "start").collect()]
+    assert got == [("a", 5), *(("big", 40 * i) for i in range(ROWS))]
