@@ -6,7 +6,10 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -65,3 +68,10 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(2 * cores)
+
+
+def local_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as part of the plan itself, so that no Python worker has to send them."""
+    names = to_arrow_schema(StructType.fromDDL(schema))
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, names)], names=names.names))
