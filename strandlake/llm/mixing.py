@@ -15,11 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.text import stripped
-from strandlake.session import materialize
+from strandlake.session import local_frame, materialize
 
 #: Documents of a leaf are cut by their hash into buckets of about this many, so that no leaf is sorted in one task.
 DOCS_PER_BUCKET = 100_000
-DOMAIN = "forum"
 
 
 @dataclass(frozen=True)
@@ -34,9 +33,10 @@ class Leaf:
 
 @dataclass(frozen=True)
 class Mix:
-    """``uses``: documents with their number of uses (1 or more). ``shares``: targets, limits and what was reached."""
+    """``uses``: documents with their number of uses (1 or more). ``leaves``, ``shares``: limits, budgets and what was taken, per leaf and per target."""
 
     uses: DataFrame
+    leaves: DataFrame
     shares: DataFrame
 
 
@@ -78,73 +78,103 @@ def budgets(leaves: list[Leaf], total: float) -> dict[tuple[str, ...], int]:
     return {k: int(v + 1e-6) for k, v in down(leaves, 0, total).items()} if leaves else {}
 
 
-def mix(docs: DataFrame, targets: DataFrame, key: str, source: str, lang: str, size: Column, seed: int = 7) -> Mix:
+LEAF = ["domain", "lang", "source"]
+
+
+def mix(docs: DataFrame, targets: DataFrame, key: str, source: str, lang: str, size: Column, seed: int = 7, domain: Column | None = None) -> Mix:
     """Choose documents so that each source of ``targets`` gives its share of the mix.
 
     ``targets``: ``source``, ``target_share``, ``max_uses``; one row per source,
     a small fixed table. Sources of ``docs`` are stripped and compared in lower
-    case; those not among the targets, and null, aren't used. The mix is as
-    large as all documents of the targets' sources counted once, where the
-    limits allow it. ``uses``: ``key``, ``source``, ``size``, ``n_uses``.
-    ``shares``, one row per target: ``source``, ``target_share``, ``max_uses``,
-    ``available`` (size of its documents, each once), ``budget``, ``taken``,
-    ``share`` of the mix (0 for an empty mix) and ``reachable``. A null size
-    counts as 0. Repeated rows are documents of their own. Null or negative
-    shares and uses count as 0. A leaf's prefix ends where it is nearest to the
-    budget, off by half a document at most. Which documents are chosen depends on ``seed``
-    and the keys alone.
+    case; those not among the targets, and null, aren't used. ``domain``: the
+    top of the tree, an expression of few values; null is a domain of its own
+    (default: one domain for all). The mix is as large as all documents of the
+    targets' sources counted once, where the limits allow it.
+
+    ``uses``: ``key``, ``source``, ``size``, ``n_uses``. ``leaves``, one row per
+    domain, language and source: ``available`` (size of its documents, each
+    once), ``most`` (all uses allowed), ``budget``, ``taken``. ``shares``, one
+    row per target: ``source``, ``target_share``, ``max_uses``, ``available``,
+    ``budget``, ``taken``, ``share`` of the mix (0 for an empty mix) and
+    ``reachable``: false where the mix takes every allowed use and the target
+    isn't met.
+
+    A null size counts as 0. Repeated rows are documents of their own. Null or
+    negative shares and uses count as 0. A leaf's prefix ends where it is
+    nearest to the budget, off by half a document at most. Which documents are
+    chosen depends on ``seed`` and the keys alone, but for documents without a
+    key, which are told apart by their row.
     """
     spark = docs.sparkSession
     goals = {}
     for r in targets.select("source", "target_share", "max_uses").collect():
         if r["source"] is not None:
             goals[r["source"].strip().lower()] = (r["source"], max(r["target_share"] or 0.0, 0.0), max(r["max_uses"] or 0, 0))
-    named = docs.select(F.col(f"`{key}`").alias("_key"), F.lower(stripped(F.col(f"`{source}`"))).alias("_source"), language(F.col(f"`{lang}`")).alias("_lang"), F.coalesce(size.cast("long"), F.lit(0)).alias("_size"))
-    sized = materialize(named.where(F.col("_source").isin(*goals)), "sized")  # texts are measured once
-
-    # bounded: targets times languages
-    found = {(r["_lang"], r["_source"]): (int(r["s"]), r["n"]) for r in sized.groupBy("_lang", "_source").agg(F.sum("_size").alias("s"), F.count("*").alias("n")).collect()}
-    of_source = {s: sum(v[0] for k, v in found.items() if k[1] == s) for s in goals}
+    top = F.lit("all") if domain is None else F.coalesce(domain.cast("string"), F.lit(""))
+    own = F.lower(stripped(F.col(f"`{source}`")))
+    named = docs.where(own.isin(*goals)).select(
+        F.col(f"`{key}`").alias("_key"), top.alias("domain"), language(F.col(f"`{lang}`")).alias("lang"), own.alias("source"),
+        F.coalesce(size.cast("long"), F.lit(0)).alias("_size"), F.monotonically_increasing_id().alias("_row"),
+    )
+    sized = materialize(named, "sized")  # texts are measured once
+
+    # bounded: domains times languages times targets
+    found = {tuple(r[c] for c in LEAF): (int(r["s"]), r["n"]) for r in sized.groupBy(*LEAF).agg(F.sum("_size").alias("s"), F.count("*").alias("n")).collect()}
+    of_source = {s: sum(v[0] for k, v in found.items() if k[2] == s) for s in goals}
     total = sum(of_source.values())
-    of_lang = {g: sum(v[0] for k, v in found.items() if k[0] == g) for g in {k[0] for k in found}}
+    of_branch = {b: sum(v[0] for k, v in found.items() if k[:2] == b) for b in {k[:2] for k in found}}
     leaves = []
     for s, (_, share, uses) in goals.items():
-        for g in of_lang:
-            have = found.get((g, s), (0, 0))[0]
-            # a source without documents weighs on the languages as the whole corpus does
-            part = have / of_source[s] if of_source[s] else of_lang[g] / total if total else 0.0
-            leaves.append(Leaf((DOMAIN, g, s), share * part, have, have * uses))
+        for b in sorted(of_branch):
+            have = found.get((*b, s), (0, 0))[0]
+            # a source without documents weighs on the branches as the whole corpus does
+            part = have / of_source[s] if of_source[s] else of_branch[b] / total if total else 0.0
+            leaves.append(Leaf((*b, s), share * part, have, have * uses))
     given = budgets(leaves, total)
 
     plan = []
     for leaf in leaves:
         b, limit = given.get(leaf.path, 0), goals[leaf.path[2]][2]
         epochs = min(b // leaf.size, limit) if leaf.size else 0
-        plan.append((leaf.path[1], leaf.path[2], epochs, b - epochs * leaf.size if epochs < limit else 0))
-    plan_df = F.broadcast(spark.createDataFrame(plan, "_lang string, _source string, _epochs int, _rest long")) if plan else F.broadcast(spark.createDataFrame([], "_lang string, _source string, _epochs int, _rest long"))
-    most = max((v[1] for v in found.values()), default=0)
-    buckets = 16 + most // DOCS_PER_BUCKET
-    order = F.xxhash64(F.lit(seed), F.col("_epochs"), F.col("_key"))
-    placed = sized.join(plan_df, ["_lang", "_source"]).withColumn("_at", order)
-    width = (1 << 64) // buckets + 1
-    placed = placed.withColumn("_bucket", F.floor((F.col("_at").cast("double") + F.lit(float(1 << 63))) / F.lit(float(width))).cast("int"))
-
-    leaf = ["_lang", "_source"]
-    w = Window.partitionBy(*leaf).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy(*leaf, "_bucket", "_rest").agg(F.sum("_size").alias("_sum"))
-    edges = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(w), F.lit(0))).where("_base < _rest and _base + _sum >= _rest")
-    # one row per leaf: the bucket in which its prefix ends
-    edges = edges.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), F.col("_bucket").alias("_edge"), "_base")
-    near = placed.join(F.broadcast(edges), (F.col("_lang") == F.col("_l")) & (F.col("_source") == F.col("_s")), "left")
-    inside = near.where("_bucket = _edge").withColumn("_upto", F.col("_base") + F.sum("_size").over(Window.partitionBy(*leaf).orderBy("_at", "_key").rowsBetween(Window.unboundedPreceding, 0)))
-    columns = ["_key", "_source", "_size"]
-    chosen = near.where("_edge is null or _bucket <> _edge").select(*columns, (F.col("_epochs") + F.when(F.col("_bucket") < F.col("_edge"), 1).otherwise(0)).alias("n_uses"))
-    chosen = chosen.unionByName(inside.select(*columns, (F.col("_epochs") + F.when(F.col("_upto") - F.col("_size") / 2 <= F.col("_rest"), 1).otherwise(0)).alias("n_uses")))
-    uses = chosen.where("n_uses > 0").select(F.col("_key").alias(key), F.col("_source").alias("source"), F.col("_size").alias("size"), "n_uses")
-
-    facts = [(s, name, share, uses_, of_source[s], int(sum(v for k, v in given.items() if k[2] == s)), bool(of_source[s] * uses_ >= share * total)) for s, (name, share, uses_) in goals.items()]
-    goal_df = spark.createDataFrame(facts, "_s string, source string, target_share double, max_uses int, available long, budget long, reachable boolean")
-    taken = uses.groupBy(F.col("source").alias("_s")).agg(F.sum(F.col("size") * F.col("n_uses")).alias("_taken"))
-    shares = goal_df.join(taken, "_s", "left").withColumn("taken", F.coalesce("_taken", F.lit(0))).withColumn("_all", F.sum("taken").over(Window.partitionBy(F.lit(1))))
-    shares = shares.select("source", "target_share", "max_uses", "available", "budget", "taken", F.coalesce(F.try_divide("taken", "_all"), F.lit(0.0)).alias("share"), "reachable")
-    return Mix(uses, shares)
+        plan.append((*leaf.path, leaf.size, leaf.most, b, epochs, b - epochs * leaf.size if epochs < limit else 0))
+    uses = _prefixes(sized, {p[:3]: p[6:] for p in plan}, seed, max((v[1] for v in found.values()), default=0))
+    planned = local_frame(spark, [p[:6] for p in plan], "domain string, lang string, source string, available long, most long, budget long")
+    per_leaf = uses.groupBy(*LEAF).agg(F.sum(F.col("_size") * F.col("n_uses")).alias("taken"))
+    reached = per_leaf.join(F.broadcast(planned), LEAF, "right").select(*LEAF, "available", "most", "budget", F.coalesce("taken", F.lit(0)).alias("taken"))
+    facts = [(s, name, share, uses_, share * total) for s, (name, share, uses_) in goals.items()]
+    goal = local_frame(spark, facts, "_s string, _name string, target_share double, max_uses int, _goal double")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("available", "most", "budget", "taken")]
+    shares = reached.join(F.broadcast(goal), F.col("_s") == F.col("source"), "right").groupBy("_s", "_name", "target_share", "max_uses", "_goal").agg(*sums)
+    shares = shares.withColumn("_all", F.sum("taken").over(Window.partitionBy(F.lit(1))))
+    short = (F.col("taken") >= F.col("most")) & (F.col("taken") < F.col("_goal"))
+    shares = shares.select(F.col("_name").alias("source"), "target_share", "max_uses", "available", "budget", "taken", F.coalesce(F.try_divide("taken", "_all"), F.lit(0.0)).alias("share"), (~short).alias("reachable"))
+    return Mix(uses.select(F.col("_key").alias(key), "source", F.col("_size").alias("size"), "n_uses"), reached, shares)
+
+
+def _prefixes(sized: DataFrame, plan: dict[tuple[str, ...], tuple[int, int]], seed: int, most: int) -> DataFrame:
+    """Rows of ``sized`` with ``n_uses``: the whole epochs of their leaf, and one more up to the rest of its budget in the order of the next epoch.
+
+    ``plan``: whole epochs and rest of each leaf. ``most``: rows of the largest
+    leaf. Hashes cut a leaf into buckets; only the bucket in which its prefix
+    ends is sorted. Where it ends is one row per leaf, which the driver takes.
+    """
+    spark = sized.sparkSession
+    who = F.when(F.col("_key").isNull(), F.xxhash64("_row")).otherwise(F.xxhash64("_key"))
+    leaves = local_frame(spark, [(*k, *v) for k, v in plan.items()], "domain string, lang string, source string, _epochs int, _rest long")
+    width = (1 << 64) // (16 + most // DOCS_PER_BUCKET) + 1
+
+    def place(leaves: DataFrame) -> DataFrame:
+        placed = sized.join(F.broadcast(leaves), LEAF).withColumn("_at", F.xxhash64(F.lit(seed), F.col("_epochs"), who))
+        return placed.withColumn("_bucket", F.floor((F.col("_at").cast("double") + F.lit(float(1 << 63))) / F.lit(float(width))).cast("int"))
+
+    sums = place(leaves.where("_rest > 0")).groupBy(*LEAF, "_bucket", "_rest").agg(F.sum("_size").alias("_sum"))
+    base = F.coalesce(F.sum("_sum").over(Window.partitionBy(*LEAF).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edges = {tuple(r[:3]): r[3:] for r in sums.withColumn("_base", base).where("_base < _rest and _base + _sum >= _rest").select(*LEAF, "_bucket", "_base").collect()}
+    known = "domain string, lang string, source string, _epochs int, _rest long, _edge int, _base long"
+    leaves = local_frame(spark, [(*k, *v, *edges.get(k, (None, None))) for k, v in plan.items()], known)
+    upto = F.col("_base") + F.sum("_size").over(Window.partitionBy(*LEAF).orderBy("_at", "_row").rowsBetween(Window.unboundedPreceding, 0))
+    inside = place(leaves).where("_bucket = _edge").withColumn("_upto", upto).where(F.col("_upto") - F.col("_size") / 2 <= F.col("_rest"))
+    cuts = {tuple(r[:3]): tuple(r[3]) for r in inside.groupBy(*LEAF).agg(F.max(F.struct("_at", "_row")).alias("_cut")).collect()}
+    leaves = local_frame(spark, [(*k, *v, *edges.get(k, (None, None)), *cuts.get(k, (None, None))) for k, v in plan.items()], f"{known}, _cut_at long, _cut_row long")
+    within = (F.col("_bucket") < F.col("_edge")) | ((F.col("_bucket") == F.col("_edge")) & ((F.col("_at") < F.col("_cut_at")) | ((F.col("_at") == F.col("_cut_at")) & (F.col("_row") <= F.col("_cut_row")))))
+    return place(leaves).select(*LEAF, "_key", "_size", (F.col("_epochs") + F.when(within, 1).otherwise(0)).alias("n_uses")).where("n_uses > 0")

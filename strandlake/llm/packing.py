@@ -148,18 +148,19 @@ class _Slots:
         return self.base[size][i] + (ranks - first) // self.each[size][i]
 
 
-def pack(rows: DataFrame, key: str, size: Column, capacity: int = CAPACITY) -> DataFrame:
+def pack(rows: DataFrame, key: str, size: Column, capacity: int = CAPACITY, numbered: bool = False) -> DataFrame:
     """The container of each item.
 
     Columns: ``key`` (as given), ``piece_no``, ``piece_size``, ``container_id``
-    from 0. An item over the capacity is split into full pieces and a rest;
-    others have the one piece 0. A null or negative size counts as 0; items of
-    size 0 go into any container (0 if there are no others). Repeated rows and
-    null keys are items of their own. An empty table gives an empty result.
+    from 0 and, if ``numbered``, ``item_no``, one number per row of ``rows``. An item
+    over the capacity is split into full pieces and a rest; others have the one
+    piece 0. A null or negative size counts as 0; items of size 0 go into any
+    container (0 if there are no others). Repeated rows and null keys are items
+    of their own. An empty table gives an empty result.
     """
-    sized = rows.select(F.col(f"`{key}`").alias("_key"), F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("_size"))
+    sized = rows.select(F.col(f"`{key}`").alias("_key"), F.monotonically_increasing_id().alias("_item"), F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("_size"))
     full = F.call_function("div", F.greatest(F.col("_size") - 1, F.lit(0)), F.lit(capacity))
-    items = sized.select("_key", F.posexplode(F.concat(F.array_repeat(F.lit(capacity), full.cast("int")), F.array((F.col("_size") - full * capacity).cast("int")))).alias("piece_no", "piece_size"))
+    items = sized.select("_key", "_item", F.posexplode(F.concat(F.array_repeat(F.lit(capacity), full.cast("int")), F.array((F.col("_size") - full * capacity).cast("int")))).alias("piece_no", "piece_size"))
     items = materialize(items, "items")  # sizes are measured once
 
     histogram = items.groupBy("piece_size").agg(F.count("*").alias("n")).collect()  # at most capacity + 1 rows
@@ -169,8 +170,8 @@ def pack(rows: DataFrame, key: str, size: Column, capacity: int = CAPACITY) -> D
     slots = _Slots(plan_containers(counts, capacity), capacity)
 
     buckets = 8 + int(counts.max()) // ITEMS_PER_BUCKET
-    spread = items.withColumn("_bucket", F.pmod(F.xxhash64("_key", "piece_no"), F.lit(buckets)).cast("int"))
-    inside = F.row_number().over(Window.partitionBy("piece_size", "_bucket").orderBy("_key", "piece_no")) - 1
+    spread = items.withColumn("_bucket", F.pmod(F.xxhash64("_item", "piece_no"), F.lit(buckets)).cast("int"))
+    inside = F.row_number().over(Window.partitionBy("piece_size", "_bucket").orderBy("_item", "piece_no")) - 1
     numbered = spread.withColumn("_in", inside)
     sizes = spread.groupBy("piece_size", "_bucket").agg(F.count("*").alias("_n"))
     w = Window.partitionBy("piece_size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -190,7 +191,7 @@ def pack(rows: DataFrame, key: str, size: Column, capacity: int = CAPACITY) -> D
                 out[part] = shared.value.containers(int(s[part[0]]), r[part])
         return pd.Series(out)
 
-    return ranked.select(F.col("_key").alias(key), "piece_no", F.col("piece_size"), container("piece_size", "_rank").alias("container_id"))
+    return ranked.select(F.col("_key").alias(key), "piece_no", "piece_size", container("piece_size", "_rank").alias("container_id"), *([F.col("_item").alias("item_no")] if numbered else []))
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -59,12 +59,14 @@ def p4_from_days(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.percentiles(percentiles.merge(_states(spark, d, by_day=True), GROUPS), GROUPS, PERCENTS)
 
 
-def _packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(_documents(spark, d), "doc_id", n_tokens(F.col("text")))
+def _packed(spark: SparkSession, d: str, numbered: bool = False) -> DataFrame:
+    return packing.pack(_documents(spark, d), "doc_id", n_tokens(F.col("text")), numbered=numbered)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d).where("piece_no = 1").select("doc_id")
+    """Documents whose pieces lie in more than one container."""
+    per = _packed(spark, d, numbered=True).groupBy("item_no").agg(F.max("doc_id").alias("doc_id"), F.min("container_id").alias("a"), F.max("container_id").alias("b"))
+    return per.where("a < b").select("doc_id")
 
 
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -87,6 +89,11 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d).shares
 
 
+def p7_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """Budget and taken size of each source in each language."""
+    return _mixed(spark, d).leaves
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d).uses
 
@@ -105,7 +112,7 @@ def p8_levels(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p4_percentiles, p4_from_days, p6_found, p6_containers, p6_fill, p7_found, p7_shares, p7_mix, p8_found, p8_levels)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p4_percentiles, p4_from_days, p6_found, p6_containers, p6_fill, p7_found, p7_shares, p7_leaves, p7_mix, p8_found, p8_levels)}
 
 _BASES = r"select contig_row, regexp_replace(sequence, '\s', '', 'g') as b from contigs"
 _P4 = f"""

@@ -83,3 +83,28 @@ def test_edges(spark):
     odd = mix(some, spark.createDataFrame([("a", None, 1), ("b", -1.0, None), (None, 1.0, 1)], TARGETS), "id", "source", "lang", F.col("n"))
     assert odd.uses.collect() == [] and odd.shares.count() == 2
     assert mix(some, targets, "id", "source", "lang", F.col("n")).uses.count() == 2
+
+
+def test_two_domains(spark):
+    """What one domain can't give comes from its own sources and languages first, then from the other domain."""
+    rows = [(i, "a", "en", 10, "web", "") for i in range(100)] + [(1000 + i, "b", "en", 10, "web", "") for i in range(300)] + [(2000 + i, "a", "en", 10, "books", "") for i in range(40)] + [(3000 + i, "a", "en", 10, None, "") for i in range(60)]
+    docs = spark.createDataFrame(rows, "id long, source string, lang string, n long, shelf string, domain string")
+    out = mix(docs, spark.createDataFrame([("a", 0.7, 2), ("b", 0.3, 2)], TARGETS), "id", "source", "lang", F.col("n"), domain=F.col("shelf"))
+    leaves = {(r["domain"], r["source"]): r for r in out.leaves.collect()}
+    assert set(leaves) == {(d, s) for d in ("web", "books", "") for s in ("a", "b")}
+    # the fair part of a is 5000 * 0.7, of which web, books and the unnamed domain have 100, 40 and 60 of 200 documents
+    assert [leaves[d, "a"]["budget"] for d in ("web", "books", "")] == [1750, 700, 1050] and leaves["web", "b"]["budget"] == 1500
+    assert all(r["taken"] == r["budget"] <= r["most"] for r in leaves.values())
+    assert {r["source"]: r["reachable"] for r in out.shares.collect()} == {"a": True, "b": True}
+    short = mix(docs, spark.createDataFrame([("a", 0.7, 1), ("b", 0.3, 2)], TARGETS), "id", "source", "lang", F.col("n"), domain=F.col("shelf"))
+    got = {r["source"]: r for r in short.shares.collect()}
+    assert not got["a"]["reachable"] and got["a"]["taken"] == 2000 and got["b"]["reachable"] and got["b"]["taken"] == 3000
+
+
+def test_documents_without_keys(spark):
+    rows = [(None, "a", "en", 10, "", "")] * 200 + [(None, "b", "en", 7, "", "")] * 100
+    out = mix(spark.createDataFrame(rows, DOCS), spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], TARGETS), "id", "source", "lang", F.col("n"))
+    taken = defaultdict(int)
+    for r in out.uses.collect():
+        taken[r["source"]] += r["size"] * r["n_uses"]
+    assert taken["b"] == 1351 and taken["a"] == 1350

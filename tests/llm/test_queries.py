@@ -47,3 +47,22 @@ def test_p2_and_p8_shapes(spark):
     levels = queries.p8_levels(spark, FOLDER).collect()
     assert len(levels) == spark.read.parquet(f"{FOLDER}/documents.parquet").count() and {r.reading_level for r in levels} <= {None, 1, 2, 3, 4, 5}
     assert {r.doc_id for r in queries.p8_found(spark, FOLDER).collect()} == {r.doc_id for r in levels if (r.reading_level or 0) >= 4}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_found_come_out_of_the_operators(spark):
+    """The plan of p6_found numbers the items and looks containers up; that of p7_found counts the uses of each document."""
+    packed = _plan(queries.p6_found(spark, FOLDER))
+    assert "Window" in packed and "container" in packed and "ArrowEvalPython" in packed
+    mixed = _plan(queries.p7_found(spark, FOLDER))
+    assert "xxhash64" in mixed and "_cut_at" in mixed and "n_uses" in mixed
+
+
+def test_p7_leaves_add_up(spark):
+    leaves, shares = queries.p7_leaves(spark, FOLDER).collect(), queries.p7_shares(spark, FOLDER).collect()
+    for r in shares:
+        assert r["taken"] == sum(x["taken"] for x in leaves if x["source"] == r["source"])
+    assert all(x["taken"] <= x["most"] for x in leaves)
