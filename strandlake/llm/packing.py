@@ -172,11 +172,11 @@ def pack(rows: DataFrame, key: str, size: Column, capacity: int = CAPACITY, numb
     buckets = 8 + int(counts.max()) // ITEMS_PER_BUCKET
     spread = items.withColumn("_bucket", F.pmod(F.xxhash64("_item", "piece_no"), F.lit(buckets)).cast("int"))
     inside = F.row_number().over(Window.partitionBy("piece_size", "_bucket").orderBy("_item", "piece_no")) - 1
-    numbered = spread.withColumn("_in", inside)
+    counted = spread.withColumn("_in", inside)
     sizes = spread.groupBy("piece_size", "_bucket").agg(F.count("*").alias("_n"))
     w = Window.partitionBy("piece_size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("piece_size", "_bucket", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_start"))
-    ranked = numbered.join(starts.hint("shuffle_hash"), ["piece_size", "_bucket"]).withColumn("_rank", F.col("_in") + F.col("_start"))
+    ranked = counted.join(starts.hint("shuffle_hash"), ["piece_size", "_bucket"]).withColumn("_rank", F.col("_in") + F.col("_start"))
 
     shared = rows.sparkSession.sparkContext.broadcast(slots)  # bounded by the capacity
 
