@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,12 +98,68 @@ def test_long_signatures():
     assert own_words(f"Mine.\n--\n{sign}").endswith("motto l")  # only a separator
 
 
-def test_calibration_reads_all_sentences(monkeypatch):
-    """The sentence models take a bounded sample of a text, the calibration all of it, as scoring does."""
-    seen, fitted = [], []
-    features, fit_sentences = reading.Model.document_features, reading._fit_sentences
-    monkeypatch.setattr(reading.Model, "document_features", lambda self, rows: seen.append(len(rows)) or features(self, rows))
-    monkeypatch.setattr(reading, "_fit_sentences", lambda docs, *a: fitted.extend(map(len, docs)) or fit_sentences(docs, *a))
-    long = [(" ".join([t] * 10), [int(level == i) for i in range(1, 6)]) for level, t in labelled(20, 1)]  # 40 sentences each
-    assert reading.fit(labelled(20), long, max_sentences=6).calibration is not None
-    assert sorted(seen) == [4] * 20 + [40] * 20 and max(fitted) == 6
+def test_fit_reads_all_sentences():
+    """What tells the levels apart comes after 40 sentences that all texts share."""
+    same = "The plain text is here. " * 40
+    texts = [(same + t * 3, [int(level == i) for i in range(1, 6)]) for level, t in labelled(60, 1)]
+    model = reading.fit([], texts)
+    tails = labelled(40, 2)
+    got = reading.middle_levels(model.document_distributions(model.document_features([t for _, t in tails])[0]))
+    assert sum(abs(g - level) <= 1 for g, (level, _) in zip(got, tails)) >= 34
+
+
+def test_one_text_is_enough():
+    model = reading.fit([(4, "Only one passage. It has two sentences.")], [])
+    x, sentences, words = model.document_features(["Only one passage.", "", "1 2 3"])
+    assert model.calibration is not None and sentences.tolist() == [1, 0, 0] and words.tolist() == [3, 0, 0]
+
+
+def plain_sentences(text):
+    found = (re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", s) for s in re.split(r"(?<=[.!?;:])\s+|\n+", text.lower()))
+    return [words for words in found if words]
+
+
+def words_of(s):
+    return ["".join(map(chr, s.codes[a:b])) for a, b in zip(s.begins, s.ends)]
+
+
+PARSED = ["", "One. Two three!  Four?\n\nFive; six: 7 seven", "don't well-known --a-- b'", "Ärger über çédille. ſtraße İi", "x_y a1b 2c. d.e . f", "no end", ".", "a.\n b", "É" * 50 + ". " + "q’s ’s"]
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 10, 1])
+def test_parse(monkeypatch, chunk):
+    monkeypatch.setattr(reading, "CHUNK", chunk)
+    got = [[] for _ in PARSED]
+    for s in reading.parse(PARSED):
+        words = words_of(s)
+        for owner, a, n in zip(s.owner, s.starts, s.sizes):
+            got[owner].append(words[a : a + n])
+    assert got == [plain_sentences(t) for t in PARSED]
+
+
+def test_scores_do_not_depend_on_chunks(monkeypatch):
+    model = reading.fit(labelled(30), [])
+    texts = ["\n".join(t for _, t in labelled(20, k)) for k in range(5)] + ["", "Last one."]
+    whole = model.document_features(texts)
+    monkeypatch.setattr(reading, "CHUNK", 100)
+    parts = model.document_features(texts)
+    assert all((a == b).all() for a, b in zip(whole[1:], parts[1:])) and abs(whole[0] - parts[0]).max() < 1e-5
+
+
+def test_words_are_told_apart_by_all_their_letters():
+    (s,) = reading.parse(["abc acb bca ab abc a’b a'b " + "x" * 300 + " " + "x" * 301])
+    words = words_of(s)
+    assert len(set(s.words.tolist())) == len(set(words)) == 8 and s.words[0] == s.words[4]
+
+
+@pytest.mark.parametrize("text", ["[quote " * 50_000, "<blockquote " * 50_000, "[sig]" * 50_000, "[/quote]" * 50_000, "[quote]<blockquote>[/quote]" * 30_000, "on a, " * 50_000 + "wrote:\n> x", "~ a " * 50_000, "<" + "\n" * 200_000, "a." * 100_000 + "/", "[size=1] edited " * 30_000, "<code " * 50_000])
+def test_odd_texts_without_bounds_end(text):
+    own_words(text)
+
+
+def test_names_of_any_length():
+    name = "n" * 300
+    assert own_words(f"{name} wrote:\n> his\n\nMine.") == "Mine."
+    assert own_words(f'[quote="{name}"]his[/quote] Mine.') == "Mine." and own_words(f"Mine.\n~ {name} ~\nmotto") == "Mine."
+    assert own_words("See docs.python.dev/3/x and a.example for it.") == "See   and   for it."
+    assert own_words("Mine.\n--\none\ntwo\nthree", sign_lines=2).endswith("three") and own_words("Mine.\n--\none\ntwo", sign_lines=2) == "Mine."
