@@ -25,7 +25,7 @@ _NAMES = ("n_rows", "sum_cov", "sum_value", "max_cov", "n_positions", "n_islands
 _NONE = np.iinfo(np.int64).min
 
 
-def _changes(column: pa.Array) -> np.ndarray:
+def key_changes(column: pa.Array) -> np.ndarray:
     """For each row but the first, whether its value differs from the one before; nulls are equal."""
     a, b = column.slice(0, len(column) - 1), column.slice(1)
     differ = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
@@ -42,7 +42,7 @@ def _runs(batch: pa.RecordBatch, n_keys: int) -> tuple[np.ndarray, dict[str, np.
     new = np.ones(n, dtype=bool)
     new[1:] = False
     for i in range(n_keys):
-        new[1:] |= _changes(batch.column(i))
+        new[1:] |= key_changes(batch.column(i))
     starts = np.flatnonzero(new)
     pos, cov, value = (batch.column(n_keys + i) for i in range(3))
     p = _long(pos, _NONE)
