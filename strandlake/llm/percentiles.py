@@ -2,21 +2,26 @@
 
 Method: SQL cumulative frequencies. The rows are reduced to counts per group and
 value, with partial sums before the shuffle; the counts are range-sorted by
-group and value; window running sums within each range get the offsets of the
-ranges before it; the first value whose running sum reaches a target rank is
-the percentile. The frequencies of separate days or partitions add up, so the
+group and value; running sums over each group's window of a range get the
+offsets of the ranges before it; the first value whose running sum reaches a
+target rank is the percentile. The counts move once, to their range. The frequencies of separate days or partitions add up, so the
 result is exact however they are combined.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.operators.heavy_keys import key_changes
 from strandlake.session import materialize
 
 
@@ -37,11 +42,14 @@ def frequencies(rows: DataFrame, groups: dict[str, Column], measures: dict[str,
     null group is a group of its own. States of any parts of the rows may be
     added by ``merge``.
     """
-    found = F.array(*(F.struct(F.lit(name).alias("measure"), (m.value.cast("double") + F.lit(0.0)).alias("value"), F.lit(float(m.low)).alias("low"), F.lit(float(m.high)).alias("high")) for name, m in measures.items()))
+    # a measure is a number until the counts are made, as they move by it
+    found = F.array(*(F.struct(F.lit(i).cast("tinyint").alias("_measure"), (m.value.cast("double") + F.lit(0.0)).alias("value"), F.lit(float(m.low)).alias("low"), F.lit(float(m.high)).alias("high")) for i, m in enumerate(measures.values())))
     valid = F.filter(found, lambda x: ~F.isnan(x.value) & (x.value >= x.low) & (x.value <= x.high))
     keys = [c.alias(k) for k, c in groups.items()] + ([period.alias("period")] if period is not None else [])
     long = rows.select(*keys, F.inline(valid)).drop("low", "high")
-    return long.groupBy(*groups, *(["period"] if period is not None else []), "measure", "value").agg(F.count("*").alias("n"))
+    by = [*groups, *(["period"] if period is not None else [])]
+    counts = long.groupBy(*by, "_measure", "value").agg(F.count("*").alias("n"))
+    return counts.select(*by, F.get(F.array(*map(F.lit, measures)), F.col("_measure").cast("int")).alias("measure"), "value", "n")
 
 
 def merge(states: list[DataFrame], groups: list[str]) -> DataFrame:
@@ -50,6 +58,56 @@ def merge(states: list[DataFrame], groups: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, (s.select(*keys, "n") for s in states)).groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
+def _running_sums(n_keys: int):
+    """For a sorted range: each row's running sum and the sum of its group, within the range, and the range's number.
+
+    A group's rows are held until its sum is known, which is a range at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where = TaskContext.get().partitionId()
+        held: list[tuple[pa.RecordBatch, np.ndarray]] = []  # the open group, which may go on in the next batch
+        held_sum = 0
+
+        def out(batch: pa.RecordBatch, upto: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+            ends = [pa.array(upto), pa.array(part), pa.array(np.full(len(upto), where, dtype=np.int32))]
+            return pa.RecordBatch.from_arrays([*batch.columns, *ends], names=[*batch.schema.names, "_upto", "_part", "_range"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for b, upto in held:
+                yield out(b, upto, np.full(len(upto), held_sum))
+            held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.column(n_keys + 1).to_numpy()
+            new = np.zeros(batch.num_rows, dtype=bool)
+            for i in range(n_keys):
+                new[1:] |= key_changes(batch.column(i))
+            new[0] = not held or any(held[-1][0].column(i)[-1].as_py() != batch.column(i)[0].as_py() for i in range(n_keys))
+            if new[0]:
+                yield from flush()
+                held_sum = 0
+            starts = np.flatnonzero(new)
+            starts = starts if new[0] else np.append(0, starts)
+            sizes = np.diff(np.append(starts, len(n)))
+            part = np.add.reduceat(n, starts)
+            part[0] += held_sum
+            total = np.cumsum(n) + held_sum
+            upto = total - np.repeat(np.append(0, np.cumsum(part)[:-1]), sizes)
+            last = int(starts[-1])
+            if last:
+                held_sum = int(part[0])
+                yield from flush()
+                yield out(batch.slice(0, last), upto[:last], np.repeat(part, sizes)[:last])
+            held.append((batch.slice(last), upto[last:]))
+            held_sum = int(part[-1])
+        yield from flush()
+
+    return run
+
+
 def percentiles(state: DataFrame, groups: list[str], percents: list[int], ranges: int | None = None) -> DataFrame:
     """Nearest-rank percentiles of a state that has one row per group, measure and value.
 
@@ -63,9 +121,9 @@ def percentiles(state: DataFrame, groups: list[str], percents: list[int], ranges
     spark = state.sparkSession
     keys = [*groups, "measure"]
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = state.select(*keys, "value", "n").repartitionByRange(n, *keys, "value").withColumn("_range", F.spark_partition_id())
-    part = Window.partitionBy("_range", *keys)
-    summed = ranged.withColumn("_upto", F.sum("n").over(part.orderBy("value"))).withColumn("_part", F.sum("n").over(part))
+    ranged = state.select(*keys, "value", "n").repartitionByRange(n, *keys, "value").sortWithinPartitions(*keys, "value")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema.fields)
+    summed = ranged.mapInArrow(_running_sums(len(keys)), f"{schema}, _upto long, _part long, _range int")
     # written, as the ranges' numbers must be the same for the offsets and for what they are added to
     summed = materialize(summed, "running-sums")
     # a bound between ranges lies in one group at most: no more than 2 (n - 1) parts of split groups
