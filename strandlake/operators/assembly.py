@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.text import stripped
+from strandlake.session import wide
 
 
 def clean_sequence(sequence: Column) -> Column:
@@ -16,12 +17,12 @@ def clean_sequence(sequence: Column) -> Column:
 def latest_loads(loads: DataFrame, id_col: str = "id", sequence: str = "sequence", at: str = "loaded_at", row: str = "contig_row") -> DataFrame:
     """``contig, sequence``: the last load of each stripped id, as the last record of a repeated id counts.
 
-    The newest load is found on ids and times alone; the sequences move only in
-    the join with the winners' rows. Loads without an id are left out; a null
-    sequence stays null. Of a repeated row one counts.
+    The sequences move once, to the partition of their contig, where scans read
+    them. Loads without an id are left out; a null sequence stays null. Of loads
+    with one time and row the longest counts, and of these any one, but the same
+    in each run.
     """
     named = loads.select(stripped(F.col(id_col)).alias("contig"), F.col(at).alias("_at"), F.col(row).alias("_row"), F.col(sequence).alias("_seq")).where("contig <> ''")
-    newest = named.groupBy("contig").agg(F.max(F.struct("_at", "_row")).alias("_w")).select(F.col("contig").alias("_c"), "_w")
-    winners = named.join(newest, (F.col("contig") == F.col("_c")) & F.struct("_at", "_row").eqNullSafe(F.col("_w")), "left_semi")
-    winners = winners.withColumn("_n", F.row_number().over(Window.partitionBy("contig").orderBy(F.length("_seq").desc(), "_seq"))).where("_n = 1")
-    return winners.select("contig", clean_sequence(F.col("_seq")).alias("sequence"))
+    newest = F.struct("_at", "_row", F.length("_seq"), F.xxhash64("_seq"))
+    last = named.repartition(wide(loads.sparkSession), "contig").groupBy("contig").agg(F.max_by("_seq", newest).alias("_seq"))
+    return last.select("contig", clean_sequence(F.col("_seq")).alias("sequence"))

@@ -4,10 +4,12 @@ Method: a Bloom filter of the parent keys, broadcast, proves definite orphans;
 only references that pass it are verified by an exact join; then both kinds are
 aggregated per table and period.
 
-The filter has one 64-bit word per row of a small table: a key's hash names its
-word and four bits in it. Its number of words is capped, so its broadcast size
-is bounded whatever the number of parents; a full filter proves less and leaves
-more to the exact join, but the result is the same.
+The filter is a small table of blocks of 64 words of 64 bits: a key's hash names
+its block, its word and four bits in it. It has at most 2^24 words, so that its
+broadcast, about 150 MB, is bounded whatever the number of parents: 16 bits a
+parent up to 67 million of them, 4 bits at 270 million. Beyond that it proves
+less and leaves more to the exact join, but the result is the same;
+``proved_shares`` tells how much.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from strandlake.session import materialize
 #: Fixed value: stands for "not removed".
 FOREVER = "9999-12-31 00:00:00"
 BITS_PER_KEY, BITS_SET = 16, 4
-MIN_WORDS, MAX_WORDS = 64, 1 << 20
+MIN_WORDS, MAX_WORDS, BLOCK_WORDS = 64, 1 << 24, 64
 #: Exact join: parents are broadcast up to this many bytes, else both sides are shuffled with hot keys salted.
 BROADCAST_BYTES = 32 << 20
 SALTS = 32
@@ -96,6 +98,34 @@ def bloom_filter(keys: DataFrame, n: int, bits_per_key: int = BITS_PER_KEY, max_
     return keys.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits")), n_words
 
 
+def _blocks(bloom: DataFrame) -> DataFrame:
+    """The filter with BLOCK_WORDS words to a row, which takes little more memory than the words themselves."""
+    at = F.pmod("_word", F.lit(BLOCK_WORDS))
+    words = F.array(*(F.coalesce(F.bit_or(F.when(at == i, F.col("_bits"))), F.lit(0).cast("long")) for i in range(BLOCK_WORDS)))
+    return bloom.groupBy(F.shiftright("_word", BLOCK_WORDS.bit_length() - 1).alias("_block")).agg(words.alias("_words"))
+
+
+def _probed(refs: DataFrame, parents: Parents, bits_per_key: int, max_words: int) -> DataFrame:
+    """``refs`` with ``_maybe``: false where the filter proves that there is no such parent."""
+    bloom, n_words = bloom_filter(parents.spans.select("id"), parents.size[0], bits_per_key, max_words)
+    word, mask = _word_and_mask(F.col("parent_key"), n_words)
+    keyed = refs.withColumn("_word", word).withColumn("_mask", mask).withColumn("_block", F.shiftright("_word", BLOCK_WORDS.bit_length() - 1))
+    probed = keyed.join(F.broadcast(_blocks(bloom)), "_block", "left")
+    bits = F.get("_words", F.pmod("_word", F.lit(BLOCK_WORDS)).cast("int"))
+    return probed.withColumn("_maybe", F.coalesce(bits.bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))).drop("_word", "_mask", "_block", "_words")
+
+
+def _references(tables: list[References]) -> DataFrame:
+    refs = reduce(DataFrame.unionByName, (t.rows.select(F.lit(t.name).alias("src_table"), t.key.alias("row_key"), stripped(t.parent).alias("parent_key"), t.at.cast("timestamp").alias("at")) for t in tables))
+    return refs.where(F.col("parent_key").isNotNull() & (F.col("parent_key") != ""))
+
+
+def proved_shares(tables: list[References], parents: Parents, bits_per_key: int = BITS_PER_KEY, max_words: int = MAX_WORDS) -> DataFrame:
+    """Per table: ``n_references``, ``n_proved`` (orphans by the filter alone) and ``n_verified`` (left to the exact join)."""
+    probed = _probed(_references(tables), parents, bits_per_key, max_words)
+    return probed.groupBy("src_table").agg(F.count("*").alias("n_references"), F.count_if(~F.col("_maybe")).alias("n_proved"), F.count_if("_maybe").alias("n_verified"))
+
+
 def _verdict(known: Column) -> Column:
     """Null if live by the span alone; 'gap' if only the lifetimes can tell; else the reason."""
     at = F.col("at")
@@ -122,14 +152,8 @@ def orphan_references(tables: list[References], parents: Parents, broadcast_byte
     time. Without parents every reference is missing; without rows the result
     is empty.
     """
-    refs = reduce(DataFrame.unionByName, (t.rows.select(F.lit(t.name).alias("src_table"), t.key.alias("row_key"), stripped(t.parent).alias("parent_key"), t.at.cast("timestamp").alias("at")) for t in tables))
-    refs = refs.where(F.col("parent_key").isNotNull() & (F.col("parent_key") != ""))
-    n, size = parents.size
-    bloom, n_words = bloom_filter(parents.spans.select("id"), n, bits_per_key, max_words)
-    word, mask = _word_and_mask(F.col("parent_key"), n_words)
-    probed = refs.withColumn("_word", word).withColumn("_mask", mask).join(F.broadcast(bloom), "_word", "left")
-    maybe = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
-    probed = probed.withColumn("_maybe", maybe).drop("_word", "_mask", "_bits")
+    size = parents.size[1]
+    probed = _probed(_references(tables), parents, bits_per_key, max_words)
 
     if size <= broadcast_bytes:  # the references aren't moved at all
         spans = parents.spans.withColumnRenamed("id", "_id")
@@ -146,12 +170,13 @@ def orphan_references(tables: list[References], parents: Parents, broadcast_byte
     if parents.holes_bytes <= broadcast_bytes:
         found = open_.join(F.broadcast(h), inside, "left_anti")
     else:
-        found = open_.where("reason <> 'gap'").unionByName(open_.where("reason = 'gap'").join(h, inside, "left_anti"))
+        left, right = _salted(open_.where("reason = 'gap'"), h, "_hid", salts)
+        found = open_.where("reason <> 'gap'").unionByName(left.join(right, inside & (F.col("_salt") == F.col("_s")), "left_anti").drop("_salt"))
     return found.withColumn("reason", F.when(F.col("reason") == "gap", "removed").otherwise(F.col("reason")))
 
 
-def _salted_join(refs: DataFrame, spans: DataFrame, salts: int) -> DataFrame:
-    """Left join of references to the spans of their ids, both shuffled; hot ids are spread over ``salts`` partitions.
+def _salted(refs: DataFrame, parents: DataFrame, id_col: str, salts: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a shuffled join on ``parent_key`` and ``id_col``, with ``_salt`` and ``_s`` to join on too, so that hot ids are spread over ``salts`` partitions.
 
     Hot are ids with over one in ``8 * salts`` of the references, so there are
     fewer than ``8 * salts`` of them and their list may be broadcast.
@@ -160,7 +185,13 @@ def _salted_join(refs: DataFrame, spans: DataFrame, salts: int) -> DataFrame:
     total = refs.count()
     hot = counts.where(F.col("_n") * F.lit(8 * salts) > F.lit(total)).select(F.col("parent_key").alias("_hot"))
     left = refs.join(F.broadcast(hot), F.col("parent_key") == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("src_table", "row_key"), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
-    right = spans.join(F.broadcast(hot), F.col("id") == F.col("_hot"), "left").withColumn("_s", F.explode(F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot").withColumnRenamed("id", "_id")
+    right = parents.join(F.broadcast(hot), F.col(id_col) == F.col("_hot"), "left").withColumn("_s", F.explode(F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return left, right
+
+
+def _salted_join(refs: DataFrame, spans: DataFrame, salts: int) -> DataFrame:
+    """Left join of references to the spans of their ids, both shuffled."""
+    left, right = _salted(refs, spans.withColumnRenamed("id", "_id"), "_id", salts)
     return left.join(right.hint("shuffle_hash"), (F.col("parent_key") == F.col("_id")) & (F.col("_salt") == F.col("_s")), "left")
 
 

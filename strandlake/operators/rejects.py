@@ -93,8 +93,9 @@ def load_pileup_lines(lines: DataFrame, line: str = "line", offsets: tuple[str,
     ``modified_over_coverage``.
     """
     names = list(offsets)
-    raw = lines.select(*(F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(names)), F.btrim(F.col(f"`{line}`"), F.lit(" \t\r\n")).alias("_line")).where(is_record_line(F.col("_line")))
-    raw = raw.select("_line", *(F.col(f"_in{i}").alias(f"off{i}") for i in range(len(names))))
+    # generated, so that a line is trimmed once and not once per rule
+    trimmed = F.array(F.btrim(F.col(f"`{line}`"), F.lit(" \t\r\n")))
+    raw = lines.select(*(F.col(f"`{c}`").alias(f"off{i}") for i, c in enumerate(names)), F.explode(F.filter(trimmed, is_record_line)).alias("_line"))
     cols = [f"off{i}" for i in range(len(names))]
 
     # one generator reads, checks and types a line, so that no step of it is evaluated twice

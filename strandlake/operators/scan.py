@@ -3,7 +3,8 @@
 A scan matches wherever the letters of motif and sequence share a base, so N in
 a contig matches any base, and matches may overlap. Sequences are compared as
 arrays of bit masks, one vector operation per motif letter; long sequences are
-cut into overlapping tiles first, so one chromosome is scanned by many tasks.
+cut into overlapping tiles first, which bounds what a task holds. A scan runs
+where its sequences lie: no exchange, as assemblies are spread when they are made.
 Hits leave the scan as lists per block of positions, so that joins move one row
 per block and not one per hit.
 """
@@ -71,7 +72,8 @@ def motif_blocks(contigs: DataFrame, motifs: list[Motif], strands: str = "+-", t
     ``contigs``: ``contig``, ``sequence`` in upper case. ``motif_id`` is the
     index in ``motifs``; a hit's position is ``block << BLOCK_BITS`` plus its
     offset. Null and empty sequences have no hits. A block may come in two rows
-    where tiles meet, each hit in one of them.
+    where tiles meet, each hit in one of them. The sequences aren't moved, so
+    ``contigs`` should lie in as many partitions as there are cores.
     """
     pats = patterns(dict.fromkeys(motifs), strands)
     ids = {m: i for i, m in reversed(list(enumerate(motifs)))}
@@ -84,10 +86,6 @@ def motif_blocks(contigs: DataFrame, motifs: list[Motif], strands: str = "+-", t
     )
     single = F.array(F.struct(F.lit(0).cast("long").alias("at"), F.col("sequence").alias("piece")))
     tiles = whole.select("contig", F.inline(F.when(F.length("sequence") > step, cut).otherwise(single)))
-    # a scan costs far more than moving its sequence, and few large tiles would leave cores idle
-    session = contigs.sparkSession
-    tiles = tiles.repartition(max(2 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))))
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(1).to_numpy(zero_copy_only=False)

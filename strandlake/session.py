@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,10 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
 _roots: set[str] = set()
 
 
-def _remove(spark: SparkSession, root: str) -> None:
-    """Delete the application's written tables at its end, if its session still runs."""
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of written tables, if the session still runs."""
     try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     except Exception:
         pass
@@ -57,9 +59,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         atexit.register(_remove, spark, root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _open:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_open: list[list[str]] = []
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized within the block are deleted at its end.
+
+    For long sessions: results that were made within the block must be used
+    within it, as they read these tables.
+    """
+    paths: list[str] = []
+    _open.append(paths)
+    try:
+        yield
+    finally:
+        _open.remove(paths)
+        for path in paths:
+            _remove(spark, path)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Rows over at least as many partitions as there are cores, for work that costs far more than moving them.
 
@@ -70,6 +94,11 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(2 * cores)
 
 
+def wide(spark: SparkSession) -> int:
+    """Partitions for work that costs far more than moving its rows: twice the cores, or the session's shuffle partitions if these are more."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def local_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few rows of the driver as part of the plan itself, so that no Python worker has to send them."""
     names = to_arrow_schema(StructType.fromDDL(schema))
