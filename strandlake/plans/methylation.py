@@ -80,28 +80,38 @@ REQUEST = ("spike_03", "spike_01", "spike_03")
 
 
 def pileup_query_contigs(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of the requested contigs. Raw names, exactly, as in the SQL."""
-    return pileup.query_contigs(pileup_rows(spark, d), list(REQUEST), order="row_id", exact=True)
+    """Rows of the requested contigs, by stripped names. NaN and null fractions are told apart by ``fraction_is_nan``, as NaN is equal to nothing in a comparison."""
+    rows = pileup.query_contigs(pileup_rows(spark, d), list(REQUEST), order="row_id")
+    nan = F.coalesce(F.isnan("fraction_modified"), F.lit(False))
+    return rows.withColumns({"fraction_modified": F.when(~nan, F.col("fraction_modified")), "fraction_is_nan": nan})
 
 
 def pileup_projection(spark: SparkSession, d: str) -> DataFrame:
-    """Three columns of the requested contigs. Raw names, exactly, as in the SQL."""
-    return pileup.query_contigs(pileup_rows(spark, d), list(REQUEST), ["contig", "start", "score"], order="row_id", exact=True)
+    return pileup.query_contigs(pileup_rows(spark, d), list(REQUEST), ["contig", "start", "score"], order="row_id")
 
 
 def pileup_list_contigs(spark: SparkSession, d: str) -> DataFrame:
-    """Contigs of the pileup. Raw names, exactly, as in the SQL."""
-    return pileup.list_contigs(pileup_rows(spark, d), exact=True)
+    return pileup.list_contigs(pileup_rows(spark, d))
 
 
 def pileup_missing_in_assembly(spark: SparkSession, d: str) -> DataFrame:
-    """Contigs of the pileup that the assembly lacks. Raw names, exactly, as in the SQL."""
-    return pileup.not_in(pileup_rows(spark, d), assembly(spark, d), exact=True)
+    return pileup.not_in(pileup_rows(spark, d), assembly(spark, d))
 
 
 def assembly_missing_in_pileup(spark: SparkSession, d: str) -> DataFrame:
-    """Contigs of the assembly that the pileup lacks. Raw names, exactly, as in the SQL."""
-    return pileup.not_in(assembly(spark, d), pileup_rows(spark, d), exact=True)
+    return pileup.not_in(assembly(spark, d), pileup_rows(spark, d))
+
+
+def assembly_missing_in_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Contigs of the assembly without a row that passes the filters."""
+    return pileup.not_in(assembly(spark, d), meth(spark, d))
+
+
+def pileup_netted_strict(spark: SparkSession, d: str) -> DataFrame:
+    """Netting that fails on a row with more modified than valid reads, over the rows that have none."""
+    rows = pileup_rows(spark, d).where("n_modified <= n_valid_cov")
+    netted = pileup.net_coverage(pileup.filter_pileup(rows, MIN_COVERAGE, MIN_FRACTION), "raise")
+    return netted.select("row_id", "n_valid_cov")
 
 
 def sequence_revcomp(spark: SparkSession, d: str) -> DataFrame:
@@ -232,7 +242,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         contig_median, contig_weighted_mean, contig_raw, contig_verify_from_raw, motif_positions, motif_occurrences, pileup_filtered, pileup_netted, pileup_dedupe_last,
-        pileup_query_contigs, pileup_projection, pileup_list_contigs, pileup_missing_in_assembly, assembly_missing_in_pileup, sequence_revcomp, motif_revcomp, motif_regex,
+        pileup_query_contigs, pileup_projection, pileup_list_contigs, pileup_missing_in_assembly, assembly_missing_in_pileup, assembly_missing_in_filtered, pileup_netted_strict, sequence_revcomp, motif_revcomp, motif_regex,
         motif_expansions, motif_parent_child, motif_collapse, motif_union, mm_parse, mm_calls, read_fastq_pattern, read_bam_pattern, read_mapping_status, read_id_filter,
         cigar_positions, tag_descriptors, tag_rename, tag_remove, tag_overlap, tag_merge, result_ordering, tsv_lines,
     )
@@ -333,6 +343,9 @@ _HOLDS = lambda p, c: f"""{p}.mod_type = {c}.mod_type and {c}.mod_position >= {p
   and regexp_full_match(substr({c}.motif, {c}.mod_position - {p}.mod_position + 1, length({p}.motif)), array_to_string({_LIST(p + ".motif", _CASE(_CLASSES, "c"))}, ''))"""
 _SORTED = {v: k for k, v in _BASE_SETS.items()}
 
+_ASKED = f"(select unnest([{', '.join(repr(x) for x in REQUEST)}]) as q)"
+_SHOWN_COLUMNS = {"contig": "q as contig", "start": "ref_start as start", "end": 'ref_end as "end"', "fraction_modified": "case when not isnan(fraction_modified) then fraction_modified end as fraction_modified"}
+
 ORACLE = {
     "contig_median": _DEGREE.format(value=_MEDIAN),
     "contig_weighted_mean": _DEGREE.format(value=_WMEAN),
@@ -343,11 +356,14 @@ ORACLE = {
     "pileup_filtered": f"select row_id from pileup where {_PASS}",
     "pileup_netted": f"select row_id, n_modified, n_valid_cov - n_other_mod as n_valid_cov, case when n_valid_cov = n_other_mod then null else n_modified / (n_valid_cov - n_other_mod) end as fraction from pileup where {_PASS} and n_modified <= n_valid_cov",
     "pileup_dedupe_last": f"with {_METH} select * from meth",
-    "pileup_query_contigs": f"select {', '.join({'start': 'ref_start as start', 'end': 'ref_end as \"end\"'}.get(c, c) for c in pileup.COLUMNS)} from pileup join (select unnest([{', '.join(repr(x) for x in REQUEST)}]) as q) on contig = q",
-    "pileup_projection": f"select contig, ref_start as start, score from pileup join (select unnest([{', '.join(repr(x) for x in REQUEST)}]) as q) on contig = q",
-    "pileup_list_contigs": "select distinct contig from pileup",
-    "pileup_missing_in_assembly": f"with {_ASM} select distinct contig from pileup where contig is not null and contig not in (select contig from asm)",
-    "assembly_missing_in_pileup": f"with {_ASM} select contig from asm where contig not in (select contig from pileup where contig is not null)",
+    "pileup_query_contigs": f"""select {', '.join(_SHOWN_COLUMNS.get(c, c) for c in pileup.COLUMNS)}, coalesce(isnan(fraction_modified), false) as fraction_is_nan
+      from pileup join {_ASKED} on {sql_stripped("contig")} = q""",
+    "pileup_projection": f"select q as contig, ref_start as start, score from pileup join {_ASKED} on {sql_stripped('contig')} = q",
+    "pileup_list_contigs": f"select distinct {sql_stripped('contig')} as contig from pileup",
+    "pileup_missing_in_assembly": f"with {_ASM} select distinct {sql_stripped('contig')} as contig from pileup where contig is not null and {sql_stripped('contig')} not in (select contig from asm)",
+    "assembly_missing_in_pileup": f"with {_ASM} select contig from asm where contig not in (select {sql_stripped('contig')} from pileup where contig is not null)",
+    "assembly_missing_in_filtered": f"with {_ASM}, {_METH} select contig from asm where contig not in (select contig from meth where contig is not null)",
+    "pileup_netted_strict": f"select row_id, n_valid_cov - n_other_mod as n_valid_cov from pileup where {_PASS} and n_modified <= n_valid_cov",
     "sequence_revcomp": f"with {_ASM} select contig, {_RC('sequence')} as revcomp from asm",
     "motif_revcomp": f"select {_RC('motif')} as motif, mod_type, length(motif) - mod_position - 1 as mod_position from motifs",
     "motif_regex": f"select motif, mod_type, mod_position, array_to_string({_LIST('motif', _CASE(_SHOWN, 'c'))}, '') as regex from motifs",

@@ -41,7 +41,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    return orphan_report(_orphans(spark, d)).drop("n_keys")
+    return orphan_report(_orphans(spark, d))
 
 
 def _key_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +103,7 @@ ORACLE = {
     "p1_rejects": f"select line_id, reason from ({_JUDGED}) where reason is not null",
     "p1_records": f"select line_id, {', '.join(f'cast({_AT[f]} as bigint) as {f}' if f in INTEGERS else f'cast({_AT[f]} as double) as {f}' if f == 'fraction_modified' else f'{_AT[f]} as {f}' for f in FIELDS)} from ({_JUDGED}) where reason is null",
     "p3_found": f"select src_table, row_key from ({_DEAD})",
-    "p3_report": f"select src_table, strftime(t, '%Y-%m') as month, case when missing then 'missing' when early then 'loaded_later' else 'removed' end as reason, count(*) as n_orphans from ({_DEAD}) group by all",
+    "p3_report": f"select src_table, strftime(t, '%Y-%m') as month, case when missing then 'missing' when early then 'loaded_later' else 'removed' end as reason, count(*) as n_orphans, count(distinct k) as n_keys from ({_DEAD}) group by all",
     "p5_found": f"""
       with k as ({_KEYED}), n as (select src_table, count(*) as total from k group by all)
       select src_table, contig_key from k join n using (src_table) where contig_key <> '' group by src_table, contig_key, total having count(*) * 50 >= total""",
