@@ -59,7 +59,7 @@ def merge(states: list[DataFrame], groups: list[str]) -> DataFrame:
 
 
 def _running_sums(n_keys: int):
-    """For a sorted range: each row's running sum and the sum of its group, within the range, and the range's number.
+    """For a sorted range: each row's running sum and the sum of its group, within the range, the range's number, and whether the group is its first or last.
 
     A group's rows are held until its sum is known, which is a range at most.
     """
@@ -67,15 +67,15 @@ def _running_sums(n_keys: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = TaskContext.get().partitionId()
         held: list[tuple[pa.RecordBatch, np.ndarray]] = []  # the open group, which may go on in the next batch
-        held_sum = 0
+        held_sum, first = 0, True
 
-        def out(batch: pa.RecordBatch, upto: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
-            ends = [pa.array(upto), pa.array(part), pa.array(np.full(len(upto), where, dtype=np.int32))]
-            return pa.RecordBatch.from_arrays([*batch.columns, *ends], names=[*batch.schema.names, "_upto", "_part", "_range"])
+        def out(batch: pa.RecordBatch, upto: np.ndarray, part: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+            ends = [pa.array(upto), pa.array(part), pa.array(np.full(len(upto), where, dtype=np.int32)), pa.array(edge)]
+            return pa.RecordBatch.from_arrays([*batch.columns, *ends], names=[*batch.schema.names, "_upto", "_part", "_range", "_edge"])
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush(edge: bool) -> Iterator[pa.RecordBatch]:
             for b, upto in held:
-                yield out(b, upto, np.full(len(upto), held_sum))
+                yield out(b, upto, np.full(len(upto), held_sum), np.full(len(upto), edge))
             held.clear()
 
         for batch in batches:
@@ -87,7 +87,8 @@ def _running_sums(n_keys: int):
                 new[1:] |= key_changes(batch.column(i))
             new[0] = not held or any(held[-1][0].column(i)[-1].as_py() != batch.column(i)[0].as_py() for i in range(n_keys))
             if new[0]:
-                yield from flush()
+                first_held, first = first, first and not held
+                yield from flush(first_held)
                 held_sum = 0
             starts = np.flatnonzero(new)
             starts = starts if new[0] else np.append(0, starts)
@@ -99,11 +100,12 @@ def _running_sums(n_keys: int):
             last = int(starts[-1])
             if last:
                 held_sum = int(part[0])
-                yield from flush()
-                yield out(batch.slice(0, last), upto[:last], np.repeat(part, sizes)[:last])
+                yield from flush(first)
+                yield out(batch.slice(0, last), upto[:last], np.repeat(part, sizes)[:last], (np.arange(last) < sizes[0]) & first)
+                first = False
             held.append((batch.slice(last), upto[last:]))
             held_sum = int(part[-1])
-        yield from flush()
+        yield from flush(True)
 
     return run
 
@@ -123,11 +125,11 @@ def percentiles(state: DataFrame, groups: list[str], percents: list[int], ranges
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = state.select(*keys, "value", "n").repartitionByRange(n, *keys, "value").sortWithinPartitions(*keys, "value")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema.fields)
-    summed = ranged.mapInArrow(_running_sums(len(keys)), f"{schema}, _upto long, _part long, _range int")
+    summed = ranged.mapInArrow(_running_sums(len(keys)), f"{schema}, _upto long, _part long, _range int, _edge boolean")
     # written, as the ranges' numbers must be the same for the offsets and for what they are added to
     summed = materialize(summed, "running-sums")
     # a bound between ranges lies in one group at most: no more than 2 (n - 1) parts of split groups
-    parts = summed.groupBy("_range", *keys).agg(F.max("_part").alias("_part"))
+    parts = summed.where("_edge").groupBy("_range", *keys).agg(F.max("_part").alias("_part"))
     same = Window.partitionBy(*keys)
     split = parts.withColumn("_parts", F.count("*").over(same)).where("_parts > 1")
     split = split.select(*(F.col(k).alias(f"_s_{k}") for k in keys), F.col("_range").alias("_s_range"), (F.sum("_part").over(same.orderBy("_range")) - F.col("_part")).alias("_before"), F.sum("_part").over(same).alias("_all"))
