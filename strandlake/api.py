@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import io
+from collections.abc import Iterable
+from contextlib import nullcontext
 from enum import Enum
 from pathlib import Path
+from typing import BinaryIO, TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +17,12 @@ from strandlake.functions.motif import collapse_children, parse_motifs
 from strandlake.functions.text import stripped
 from strandlake.operators import pattern, pileup, reads, tags
 from strandlake.operators.pattern import Output as MethylationOutput
-from strandlake.sources import readers, writers
-from strandlake.sources.bgzf import PileupWriter as BgzfWriter
+from strandlake.sources import bam, files, readers, writers
+from strandlake.sources.bgzf import END_BLOCK, record_line
+from strandlake.sources.bgzf import RecordWriter as BgzfWriter
 
 __all__ = [
-    "BgzfWriter", "MethylationOutput", "PileupColumn", "__version__", "bgzf_pileup", "extract_pileup", "merge_bam_tags", "methylation_pattern",
+    "BgzfWriter", "MethylationOutput", "PileupColumn", "__version__", "bgzf_lines", "bgzf_pileup", "extract_pileup", "merge_bam_tags", "methylation_pattern",
     "methylation_pattern_from_dataframe", "query_pileup_records", "read_bam_pattern", "read_fastq_pattern", "remove_child_motifs",
 ]
 
@@ -37,7 +41,7 @@ def _assembly(spark: SparkSession, assembly) -> DataFrame:
     elif isinstance(assembly, str | Path):
         out = readers.read_fasta(spark, str(assembly))
     else:
-        raise TypeError("Invalid assembly object. assembly must be either a file path (str) or a dictionary (dict[str, Seq|str])")
+        raise TypeError("an assembly is a path, a frame or a dict of sequences")
     if out.isEmpty():
         raise ValueError("the assembly is empty")
     return out
@@ -67,6 +71,7 @@ def methylation_pattern(pileup_path, assembly, motifs: list[str], output_type="m
     rows = readers.read_pileup(s, str(pileup_path))
     if contigs is not None:
         rows = rows.where(stripped(F.col("contig")).isin(*contigs))
+    pileup.check_bounds(pileup.filter_pileup(rows, min_valid_read_coverage, min_valid_cov_to_diff_fraction), known)
     pileup.check_contigs(rows, known, "indexed" if str(pileup_path).endswith("gz") else "sequential", allow_assembly_pileup_mismatch)
     result = _pattern(known, rows, motifs, output_type, min_valid_read_coverage, min_valid_cov_to_diff_fraction)
     if output:
@@ -75,10 +80,10 @@ def methylation_pattern(pileup_path, assembly, motifs: list[str], output_type="m
     return result
 
 
-def methylation_pattern_from_dataframe(pileup_df: DataFrame, assembly, motifs: list[str], output_type="median", threads: int = 1, min_valid_read_coverage: int = 5, min_valid_cov_to_diff_fraction: float = 0.8) -> DataFrame:
-    """The same from a frame; contigs that only one side has are left out."""
-    known = _assembly(pileup_df.sparkSession, assembly)
-    return _pattern(known, readers.pileup_from_frame(pileup_df), motifs, output_type, min_valid_read_coverage, min_valid_cov_to_diff_fraction)
+def methylation_pattern_from_dataframe(pileup_df, assembly, motifs: list[str], output_type="median", threads: int = 1, min_valid_read_coverage: int = 5, min_valid_cov_to_diff_fraction: float = 0.8, spark: SparkSession | None = None) -> DataFrame:
+    """The same from a frame of Spark, pandas, Arrow or one with ``to_arrow``; contigs that only one side has are left out."""
+    s = pileup_df.sparkSession if isinstance(pileup_df, DataFrame) else _spark(spark)
+    return _pattern(_assembly(s, assembly), readers.pileup_from_frame(readers.to_spark(s, pileup_df)), motifs, output_type, min_valid_read_coverage, min_valid_cov_to_diff_fraction)
 
 
 def remove_child_motifs(output: str | None, motifs: list[str]) -> list[str]:
@@ -90,11 +95,17 @@ def remove_child_motifs(output: str | None, motifs: list[str]) -> list[str]:
     return [str(m) for m in kept]
 
 
+def _indexed(path: str) -> bool:
+    """Whether a file, or each of a folder's BGZF files, has an index."""
+    names = files.found(path, "*.gz")
+    return bool(names) and all(files.exists(f"{x}.tbi") for x in names)
+
+
 def query_pileup_records(pileup_path: str, contigs: list[str], columns: list | None = None, spark: SparkSession | None = None) -> DataFrame:
     """Rows of contigs in the order asked for; through the tabix index where there is one."""
     s, path = _spark(spark), str(pileup_path)
     names = [c.value if isinstance(c, Enum) else c for c in columns] if columns else None
-    rows = readers.read_indexed_pileup(s, path, contigs) if contigs and os.path.exists(f"{path}.tbi") else readers.read_pileup(s, path)
+    rows = readers.read_indexed_pileup(s, path, contigs) if contigs and _indexed(path) else readers.read_pileup(s, path)
     return pileup.query_contigs(rows, contigs, names, order="_order")
 
 
@@ -105,18 +116,36 @@ def bgzf_pileup(input: str, output: str | None = None, keep: bool = False, force
         raise ValueError(f"Output file should have bed.gz extension. Got: {out}")
     writers.write_bgzf(readers.read_pileup(_spark(spark), input), out, force)
     if not keep:
-        os.remove(input)
+        files.remove(input)
     return out
 
 
-def extract_pileup(pileup_path: str, output: str, contigs: list[str] | None = None, contigs_file: str | None = None, spark: SparkSession | None = None) -> None:
-    """Write the rows of contigs as plain text."""
+def bgzf_lines(lines: Iterable[str], output: str | BinaryIO, force: bool = False) -> None:
+    """Compress the lines of a stream, such as standard input, in their order; each is parsed and rendered anew.
+
+    To a path, with an index, or to a binary stream such as standard output,
+    without.
+    """
+    if isinstance(output, str | Path):
+        if not str(output).endswith(".gz"):
+            raise ValueError(f"Output file should have bed.gz extension. Got: {output}")
+        with BgzfWriter(output, force) as w:
+            w.write_lines(lines)
+        return
+    text = (record_line(line).encode() + b"\n" for line in lines if line.strip())
+    for block in bam.blocks_of(text):
+        output.write(block)
+    output.write(END_BLOCK)
+
+
+def extract_pileup(pileup_path: str, output: str | TextIO, contigs: list[str] | None = None, contigs_file: str | None = None, spark: SparkSession | None = None) -> None:
+    """Write the rows of contigs as plain text, to a path or a text stream such as standard output."""
     if contigs and contigs_file:
-        raise ValueError("Cannot specify both --contigs and --contigs-file")
+        raise ValueError("contigs can be named or listed in a file, but not both")
     if not contigs and not contigs_file:
-        raise ValueError("Must specify either --contigs or --contigs-file")
+        raise ValueError("contigs must be named or listed in a file")
     rows = query_pileup_records(pileup_path, contigs or readers.read_contig_list(contigs_file), spark=spark)
-    with open(output, "w") as f:
+    with nullcontext(output) if hasattr(output, "write") else io.TextIOWrapper(files.open_write(output)) as f:
         for r in pileup.pileup_lines(rows).toLocalIterator():
             f.write(r["line"] + "\n")
 
@@ -131,7 +160,16 @@ def read_bam_pattern(path: str, assembly, motifs: list[str], mode: str = "spec",
 
 
 def merge_bam_tags(source: str, target: str, rename_source: list | None = None, rename_target: list | None = None, ignore: list | None = None, spark: SparkSession | None = None) -> DataFrame:
-    """Records of ``target`` with the tags of ``source`` added."""
+    """Records of ``target``, whole, with the tags of ``source`` added. Of a read repeated in the source the last record counts."""
     s = _spark(spark)
     src = readers.read_bam_tags(s, source).withColumn("_n", F.monotonically_increasing_id())
-    return tags.merge_tags(src, readers.read_bam(s, target, primary_only=False), rename_source, rename_target, ignore, order="_n")
+    return tags.merge_tags(src, readers.read_bam(s, target, primary_only=False, full=True), rename_source, rename_target, ignore, order="_n")
+
+
+def write_alignments(reads: DataFrame, output: str, like: str) -> None:
+    """One file, BAM or SAM by its ending, with the header and the references of the BAM file ``like``."""
+    header, references = bam.header_of(files.found(like, "*.bam")[0])
+    if output.endswith(".bam"):
+        bam.write_bam(reads, output, header, references)
+    else:
+        writers.write_sam_file(reads, output, header)

@@ -7,7 +7,7 @@ import sys
 
 from strandlake import api
 from strandlake.functions.modtags import Descriptor, parse_rename
-from strandlake.sources import readers, writers
+from strandlake.sources import files, readers, writers
 
 
 def _lines(path: str) -> list[str]:
@@ -33,9 +33,10 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--allow-mismatch", action="store_true")
     for kind in ("read-bam", "read-fastq"):
         r = mp.add_parser(kind)
-        r.add_argument("-i", "--input", required=True)
+        r.add_argument(*(("-b", "--bam", "-i", "--input") if kind == "read-bam" else ("-i", "--input")), dest="input", required=True)
         r.add_argument("-m", "--motifs", nargs="+", required=True)
         r.add_argument("-o", "--output", required=True)
+        r.add_argument("-t", "--threads", type=int, default=1)
         r.add_argument("--compat", action="store_true")
         r.add_argument("--contig-ids" if kind == "read-bam" else "--read-ids")
         if kind == "read-bam":
@@ -45,8 +46,10 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("-o", "--output", required=True)
     z = sub.add_parser("bgzip").add_subparsers(dest="kind", required=True)
     k = z.add_parser("compress")
-    k.add_argument("-i", "--input", required=True)
+    k.add_argument("-i", "--input")
+    k.add_argument("--stdin", action="store_true")
     k.add_argument("-o", "--output")
+    k.add_argument("--stdout", action="store_true")
     k.add_argument("--keep", action="store_true")
     k.add_argument("--force", action="store_true")
     d = z.add_parser("decompress")
@@ -59,12 +62,34 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--from-bam", required=True)
     b.add_argument("--to-bam", required=True)
     b.add_argument("-o", "--output", required=True)
-    b.add_argument("--rename-from", nargs="*", default=[])
-    b.add_argument("--rename-to", nargs="*", default=[])
-    b.add_argument("--ignore-from", nargs="*", default=[])
+    b.add_argument("--rename-tags-from-bam", "--rename-from", dest="rename_from", nargs="*", default=[])
+    b.add_argument("--rename-tags-to-bam", "--rename-to", dest="rename_to", nargs="*", default=[])
+    b.add_argument("--ignore-tags-from-bam", "--ignore-from", dest="ignore_from", nargs="*", default=[])
     return p
 
 
+def _compress(a: argparse.Namespace) -> None:
+    if bool(a.input) == a.stdin:
+        raise SystemExit("give either --input or --stdin")
+    if a.stdout and a.output:
+        raise SystemExit("give either --output or --stdout")
+    if a.stdin and a.keep:
+        raise SystemExit("--keep is for files, not for --stdin")
+    if not (a.stdin or a.stdout):
+        api.bgzf_pileup(a.input, a.output, a.keep, a.force)
+        return
+    if a.stdin and not (a.stdout or a.output):
+        raise SystemExit("--stdin needs --output or --stdout")
+    target = sys.stdout.buffer if a.stdout else a.output
+    if a.stdin:
+        api.bgzf_lines(sys.stdin, target, a.force)
+    else:
+        with open(a.input) as f:
+            api.bgzf_lines(f, target, a.force)
+        if not a.keep:
+            files.remove(a.input)
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     mode = "compat" if getattr(a, "compat", False) else "spec"
@@ -79,14 +104,14 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "motif-cluster":
         api.remove_child_motifs(a.output, a.motifs)
     elif a.command == "bgzip" and a.kind == "compress":
-        api.bgzf_pileup(a.input, a.output, a.keep, a.force)
+        _compress(a)
     elif a.command == "bgzip" and a.ls:
         print("\n".join(readers.indexed_contigs(a.input)))
     elif a.command == "bgzip":
-        api.extract_pileup(a.input, a.output or "/dev/stdout", a.contigs, a.contigs_file)
+        api.extract_pileup(a.input, a.output or sys.stdout, a.contigs, a.contigs_file)
     else:
         merged = api.merge_bam_tags(a.from_bam, a.to_bam, [parse_rename(x) for x in a.rename_from], [parse_rename(x) for x in a.rename_to], [Descriptor.parse(x) for x in a.ignore_from])
-        writers.write_sam(merged, a.output)
+        api.write_alignments(merged, a.output, a.to_bam)
     return 0
 
 

@@ -60,9 +60,9 @@ def check_mod_types(pileup: DataFrame) -> DataFrame:
     return pileup.withColumn("mod_type", F.when(F.col("mod_type").isin(*MOD_TYPES), F.col("mod_type")).otherwise(F.raise_error(text).cast("string")))
 
 
-def methylation(pileup: DataFrame, min_coverage: int = 3, min_fraction: float = 0.8, on_error: str = "raise", order: str | None = None) -> DataFrame:
-    """Filtered, netted positions: ``contig, start, strand, mod_type, n_modified, n_valid_cov, n_diff, n_fail`` and ``order`` if given."""
-    kept = net_coverage(filter_pileup(pileup, min_coverage, min_fraction), on_error)
+def methylation(pileup: DataFrame, min_coverage: int = 3, min_fraction: float = 0.8, on_error: str = "raise", order: str | None = None, filtered: bool = True) -> DataFrame:
+    """Netted positions: ``contig, start, strand, mod_type, n_modified, n_valid_cov, n_diff, n_fail`` and ``order`` if given; without ``filtered`` of all rows."""
+    kept = net_coverage(filter_pileup(pileup, min_coverage, min_fraction) if filtered else pileup, on_error)
     return kept.select(stripped(F.col("contig")).alias("contig"), "start", "strand", "mod_type", "n_modified", "n_valid_cov", "n_diff", "n_fail", *([F.col(order).alias("_order")] if order else []))
 
 
@@ -117,6 +117,13 @@ def not_in(left: DataFrame, right: DataFrame, key: str = "contig", other: str =
     return left.select(_name(key, exact).alias(key)).where(F.col(key).isNotNull()).distinct().join(right.select(_name(other, exact).alias(key)).distinct(), key, "left_anti")
 
 
+def beyond_end(pileup: DataFrame, assembly: DataFrame) -> DataFrame:
+    """``contig, length, last_start`` of contigs with a row that starts at or behind the end of their sequence; of each only the greatest start moves."""
+    lengths = assembly.select(stripped(F.col("contig")).alias("contig"), F.coalesce(F.length("sequence"), F.lit(0)).alias("length"))
+    last = pileup.groupBy(stripped(F.col("contig")).alias("contig")).agg(F.max("start").alias("last_start"))
+    return last.join(lengths, "contig").where("last_start >= length").select("contig", "length", "last_start")
+
+
 def check_contigs(pileup: DataFrame, assembly: DataFrame, kind: str, allow_mismatch: bool) -> None:
     """The check that each kind of input calls for, unless a mismatch is allowed.
 
@@ -131,6 +138,13 @@ def check_contigs(pileup: DataFrame, assembly: DataFrame, kind: str, allow_misma
         raise PileupError(f"contigs in the {'assembly' if kind == 'indexed' else 'pileup'} but not in the {'pileup' if kind == 'indexed' else 'assembly'}: {some}")
 
 
+def check_bounds(pileup: DataFrame, assembly: DataFrame) -> None:
+    """Rows beyond the end of their contig are an error."""
+    some = [tuple(r) for r in beyond_end(pileup, assembly).limit(10).collect()]
+    if some:
+        raise PileupError(f"rows beyond the end of their contig (contig, length, start): {some}")
+
+
 def pileup_lines(pileup: DataFrame) -> DataFrame:
     """Rows as tab-separated lines, column ``line``."""
     from strandlake.sources.formats import number_text

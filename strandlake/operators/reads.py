@@ -28,13 +28,15 @@ _KNOWN = {("A", "a"): "a", ("C", "m"): "m", ("C", "21839"): "21839"}
 _BASE = {"a": "A", "m": "C", "21839": "C"}
 _CIGAR = re.compile(r"(\d+)([MIDNSHP=X])")
 _NOWHERE = -1
+#: Calls or hits that a task holds before it hands them on; a read's own are never cut.
+MOST_ROWS = 100_000
 
 
 class ReadError(ValueError):
     """Tags or an alignment that can't be read."""
 
 
-def _segments(mm: str, ml: list[int], mode: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+def _segments(mm: str, ml: np.ndarray, mode: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """(type, skips, qualities) of the known segments."""
     parts = [s for s in mm.split(";") if s]
     total = sum(s.count(",") for s in parts)
@@ -52,20 +54,20 @@ def _segments(mm: str, ml: list[int], mode: str) -> Iterator[tuple[str, np.ndarr
             if code_known:
                 skips = [int(x) for x in tail.split(",") if x.isdigit()]
                 n = min(len(skips), len(ml) - at)
-                last[code_known] = (np.array(skips[:n], dtype=np.int64), np.array(ml[at : at + n], dtype=np.int64))
+                last[code_known] = (np.array(skips[:n], dtype=np.int64), ml[at : at + n].astype(np.int64))
                 at += len(skips)
             continue
         n = tail.count(",") + 1
         m = re.match(DESCRIPTOR, head)
         kind = _KNOWN.get((m.group(1), m.group(3))) if m else None
         if kind and all(x.isdigit() for x in tail.split(",")):
-            yield kind, np.array(tail.split(","), dtype=np.int64), np.array(ml[at : at + n], dtype=np.int64)
+            yield kind, np.array(tail.split(","), dtype=np.int64), ml[at : at + n].astype(np.int64)
         at += n
     for kind, (skips, q) in last.items():
         yield kind, skips, q
 
 
-def decode_calls(seq: str, mm: str | None, ml: list[int] | None, mode: str = "spec") -> tuple[np.ndarray, list[str], np.ndarray]:
+def decode_calls(seq: str, mm: str | None, ml: list[int] | np.ndarray | None, mode: str = "spec") -> tuple[np.ndarray, list[str], np.ndarray]:
     """Positions, types and qualities of a read's calls.
 
     At each position the call of the highest quality counts; a tie at the top
@@ -75,7 +77,7 @@ def decode_calls(seq: str, mm: str | None, ml: list[int] | None, mode: str = "sp
         return np.empty(0, dtype=np.int64), [], np.empty(0, dtype=np.int64)
     letters = np.frombuffer(seq.encode("ascii", "replace"), dtype=np.uint8)
     pos, kinds, quals = [], [], []
-    for kind, skips, q in _segments(mm, list(ml or []), mode):
+    for kind, skips, q in _segments(mm, np.zeros(0, dtype=np.int64) if ml is None else np.asarray(ml, dtype=np.int64), mode):
         index = np.cumsum(skips) + np.arange(len(skips))
         target = np.flatnonzero(letters == ord(_BASE[kind]))
         ok = index < len(target)
@@ -131,20 +133,32 @@ def mapping_status(aligned: np.ndarray, starts: np.ndarray, at: np.ndarray, widt
     return np.where(at == _NOWHERE, "unmapped", np.where(~whole, "partial", np.where(steps, "complete", "gapped")))
 
 
+def _values(column: pa.ListArray, i: int) -> np.ndarray | None:
+    """One row's list of whole numbers, without a copy; null qualities aren't allowed."""
+    return column[i].values.to_numpy() if column[i].is_valid else None
+
+
+def _rows(batch: pa.RecordBatch, *columns: int) -> Iterator[tuple]:
+    """Some columns row by row; only one row's values are made at a time."""
+    for i in range(batch.num_rows):
+        yield tuple(batch.column(c)[i].as_py() for c in columns)
+
+
 def read_calls(reads: DataFrame, mode: str = "spec") -> DataFrame:
     """``read_id, position, mod_type, quality`` of all calls. ``reads``: ``read_id, seq, mm, ml``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, kinds, pos, qual = [], [], [], []
-            for read_id, seq, mm, ml in zip(*(b.column(i).to_pylist() for i in range(4))):
-                p, k, q = decode_calls(seq or "", mm, ml, mode)
+            for i, (read_id, seq, mm) in enumerate(_rows(b, 0, 1, 2)):
+                p, k, q = decode_calls(seq or "", mm, _values(b.column(3), i), mode)
                 ids += [read_id] * len(p)
                 kinds += k
                 pos.append(p)
                 qual.append(q)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(np.concatenate(pos), pa.int32()), pa.array(kinds, pa.string()), pa.array(np.concatenate(qual), pa.int32())], names=["read_id", "position", "mod_type", "quality"])
+                if ids and (len(ids) >= MOST_ROWS or i == b.num_rows - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(np.concatenate(pos), pa.int32()), pa.array(kinds, pa.string()), pa.array(np.concatenate(qual), pa.int32())], names=["read_id", "position", "mod_type", "quality"])
+                    ids, kinds, pos, qual = [], [], [], []
 
     return reads.select("read_id", "seq", "mm", F.col("ml").cast("array<int>")).mapInArrow(run, "read_id string, position int, mod_type string, quality int")
 
@@ -166,41 +180,48 @@ def read_hits(reads: DataFrame, motifs: list[Motif], aligned: bool, mode: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(*(b.column(i).to_pylist() for i in range(9 if aligned else 4)))
             out: list[tuple] = []
             sizes: list[int] = []
             arrays: list[tuple] = []
-            for read_id, seq, mm, ml, *where in rows:
-                if not seq:
-                    continue
-                n = len(seq)
-                letters = Letters(seq)
-                quality = np.zeros(n, dtype=np.int64)
-                p, _, q = decode_calls(seq, mm, ml, mode)
-                quality[p] = q
-                contig, start, strand, cigar, mapq = where if aligned else (None, 0, None, None, None)
-                ref = position_map(cigar, start, n) if aligned else None
-                for i, m in enumerate(motifs):
-                    starts = letters.starts_of(m.sequence)
-                    if not len(starts):
-                        continue
-                    at = starts + m.mod_position
-                    if aligned:
-                        original = n - at - 1 if strand == "-" else at
-                        genome = ref[original]
-                        status = mapping_status(ref, original - m.mod_position, genome, len(m.sequence))
-                    else:
-                        genome, status = np.zeros(len(at), dtype=np.int64), np.full(len(at), "")
-                    out.append((read_id, contig, strand, mapq, n, i))
-                    sizes.append(len(at))
-                    arrays.append((at, genome, quality[at], status))
-            if out:
-                index = pa.array(np.repeat(np.arange(len(out)), sizes))
-                kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
-                heads = [pa.array([o[j] for o in out], kinds[j]).take(index) for j in range(6)]
-                tails = [pa.array(np.concatenate([a[j] for a in arrays]), pa.int32()) for j in range(3)]
-                tails.append(pa.array(np.concatenate([a[3].astype(object) for a in arrays]), pa.string()))
-                yield pa.RecordBatch.from_arrays([*heads, *tails], names=[x.split()[0] for x in _HITS.split(", ")])
+            for r, (read_id, seq, mm, *where) in enumerate(_rows(b, 0, 1, 2, *((4, 5, 6, 7, 8) if aligned else ()))):
+                if seq:
+                    for head, found in hits(read_id, seq, mm, _values(b.column(3), r), where):
+                        out.append(head)
+                        sizes.append(len(found[0]))
+                        arrays.append(found)
+                if out and (sum(sizes) >= MOST_ROWS or r == b.num_rows - 1):
+                    yield packed(out, sizes, arrays)
+                    out, sizes, arrays = [], [], []
+
+    def hits(read_id: str, seq: str, mm: str | None, ml: np.ndarray | None, where: list) -> Iterator[tuple[tuple, tuple]]:
+        """What all hits of a read and a motif have in common, and their position, reference position, quality and status."""
+        n = len(seq)
+        letters = Letters(seq)
+        quality = np.zeros(n, dtype=np.int64)
+        p, _, q = decode_calls(seq, mm, ml, mode)
+        quality[p] = q
+        contig, start, strand, cigar, mapq = where if aligned else (None, 0, None, None, None)
+        ref = position_map(cigar, start, n) if aligned else None
+        for i, m in enumerate(motifs):
+            starts = letters.starts_of(m.sequence)
+            if not len(starts):
+                continue
+            at = starts + m.mod_position
+            if aligned:
+                original = n - at - 1 if strand == "-" else at
+                genome = ref[original]
+                status = mapping_status(ref, original - m.mod_position, genome, len(m.sequence))
+            else:
+                genome, status = np.zeros(len(at), dtype=np.int64), np.full(len(at), "")
+            yield (read_id, contig, strand, mapq, n, i), (at, genome, quality[at], status)
+
+    def packed(out: list[tuple], sizes: list[int], arrays: list[tuple]) -> pa.RecordBatch:
+        index = pa.array(np.repeat(np.arange(len(out)), sizes))
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+        heads = [pa.array([o[j] for o in out], kinds[j]).take(index) for j in range(6)]
+        tails = [pa.array(np.concatenate([a[j] for a in arrays]), pa.int32()) for j in range(3)]
+        tails.append(pa.array(np.concatenate([a[3].astype(object) for a in arrays]), pa.string()))
+        return pa.RecordBatch.from_arrays([*heads, *tails], names=[x.split()[0] for x in _HITS.split(", ")])
 
     return picked.mapInArrow(run, _HITS)
 

@@ -8,6 +8,10 @@ from collections.abc import Iterator
 from pathlib import Path
 from typing import BinaryIO
 
+from strandlake.operators.pileup import COLUMNS
+from strandlake.sources import files
+from strandlake.sources.formats import plain_number
+
 #: Block header up to the extra field's size, the empty last block, most bytes of text in a block.
 _HEAD = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff\x06\x00BC\x02\x00"
 END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
@@ -111,23 +115,55 @@ def region_bin(beg: int, end: int) -> int:
     return 0
 
 
+_TEXT = ("contig", "mod_type", "strand", "color")
+
+
+def record_line(line: str) -> str:
+    """A pileup line in the one form that is written: 18 fields, whole numbers without signs and zeros in front, the fraction in shortest decimals.
+
+    A line that isn't a record is an error.
+    """
+    fields = line.rstrip("\r\n").split("\t")
+    if len(fields) != len(COLUMNS):
+        raise BgzfError(f"a pileup line has {len(COLUMNS)} fields, this one {len(fields)}: {line[:80]!r}")
+    out = []
+    for name, value in zip(COLUMNS, fields):
+        value = value.strip()
+        try:
+            out.append(value if name in _TEXT else plain_number(float(value)) if name == "fraction_modified" else str(_whole(value)))
+        except ValueError:
+            raise BgzfError(f"{name} of a pileup line can't be '{value}'") from None
+    return "\t".join(out)
+
+
+def _whole(value: str) -> int:
+    n = int(value)
+    if n < 0:
+        raise ValueError(value)
+    return n
+
+
 class PileupWriter:
-    """Writes tab-separated pileup lines as BGZF with a tabix index beside the file.
+    """Writes tab-separated pileup lines, as they stand, as BGZF with a tabix index beside the file.
 
     Lines of a contig must come together and sorted by start, as the index
     needs. ``finish`` writes the index; later calls do nothing.
     """
 
     def __init__(self, path: str | Path, force: bool = False) -> None:
-        self.path = Path(path)
-        if self.path.exists() and not force:
+        self.path = str(path)
+        if files.exists(self.path) and not force:
             raise FileExistsError(f"{self.path} exists; use force to replace it")
-        self.f = self.path.open("wb")
+        self.f = files.open_write(self.path)
         self.buffer, self.done = b"", False
         self.names: list[str] = []
         self.chunks: list[dict[int, list[list[int]]]] = []
         self.linear: list[dict[int, int]] = []
 
+    def form(self, line: str) -> str:
+        """The line as it is written."""
+        return line
+
     def _tell(self) -> int:
         return self.f.tell() << 16 | len(self.buffer)
 
@@ -136,8 +172,9 @@ class PileupWriter:
             return
         for line in lines:
             line = line.rstrip("\n")
-            if not line:
+            if not line.strip():
                 continue
+            line = self.form(line)
             contig, beg, end = line.split("\t", 3)[:3]
             data = line.encode() + b"\n"
             if len(self.buffer) + len(data) > MOST_BYTES:
@@ -187,7 +224,8 @@ class PileupWriter:
                 last = linear.get(w, last)
                 out += struct.pack("<Q", last)
         blocks = [out[i : i + MOST_BYTES] for i in range(0, len(out), MOST_BYTES)]
-        Path(f"{self.path}.tbi").write_bytes(b"".join(map(compress_block, blocks)) + END_BLOCK)
+        with files.open_write(f"{self.path}.tbi") as f:
+            f.write(b"".join(map(compress_block, blocks)) + END_BLOCK)
 
     def __enter__(self) -> PileupWriter:
         return self
@@ -196,9 +234,16 @@ class PileupWriter:
         self.finish()
 
 
+class RecordWriter(PileupWriter):
+    """The same for lines of any source: each is parsed and rendered anew (``record_line``)."""
+
+    def form(self, line: str) -> str:
+        return record_line(line)
+
+
 def _indexed(path: str | Path) -> Iterator[tuple[str, list[tuple[int, int]], list[int]]]:
     """(contig, chunks, linear offsets) of a tabix index, all virtual; contigs without rows are left out."""
-    with open(f"{path}.tbi", "rb") as f:
+    with files.open_read(f"{path}.tbi") as f:
         data = b""
         while (block := read_block(f)) is not None:
             data += block

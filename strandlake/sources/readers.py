@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import glob
 import gzip
+import io
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -18,23 +19,39 @@ from strandlake.functions import modtags
 from strandlake.functions.iupac import check_letters, is_plain
 from strandlake.functions.text import WHITESPACE
 from strandlake.operators.pileup import COLUMNS, SCHEMA, PileupError, check_mod_types
+from strandlake.session import local_frame, wide
+from strandlake.sources import files
 from strandlake.sources.bam import BamSource, reference_names
 from strandlake.sources.bgzf import BgzfReader, index_parts, read_index
 
 
+def in_file_order(scan: DataFrame, name: str) -> DataFrame:
+    """A scan of files with a column that sorts its rows as they stand in the files, these by name.
+
+    Spark reads the splits of several files by size, so a row's number alone
+    doesn't tell the order of files. The list of files is broadcast: a path and
+    a number for each.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    placed = scan.select("*", F.col("_metadata.file_path").alias("_path"), place.alias("_place"))
+    names = local_frame(scan.sparkSession, [(f, i) for i, f in enumerate(sorted(scan.inputFiles()))], "_path string, _file int")
+    ranked = placed.join(F.broadcast(names), "_path", "left")
+    return ranked.select(*scan.columns, F.struct("_file", "_place").alias(name))
+
+
 def read_fasta(spark: SparkSession, path: str, ids: list[str] | None = None) -> DataFrame:
     """``contig, sequence``: id up to the first white space, sequence upper-cased, of A, C, G, T and N only.
 
     Records are split by the text reader itself, so a file is read by many
     tasks. Of a repeated id the last record counts.
     """
-    text = spark.read.option("lineSep", "\n>").text(path).withColumn("_at", F.monotonically_increasing_id())
+    text = in_file_order(spark.read.option("lineSep", "\n>").text(path), "_at")
     record = text.select("_at", F.regexp_replace("value", r"\A>", "").alias("r")).where(F.trim("r") != "")
     head, body = F.substring_index("r", "\n", 1), F.when(F.contains("r", F.lit("\n")), F.substring(F.col("r"), F.length(F.substring_index("r", "\n", 1)) + 2, F.length("r"))).otherwise("")
     rows = record.select("_at", F.regexp_extract(head, r"\A\s*(\S*)", 1).alias("contig"), F.regexp_replace(body, r"\s+", "").alias("s"))
     if ids is not None:
         rows = rows.where(F.col("contig").isin(*ids))
-    last = rows.groupBy("contig").agg(F.max_by("s", "_at").alias("s"))
+    last = rows.repartition(wide(spark), "contig").groupBy("contig").agg(F.max_by("s", "_at").alias("s"))
     wrong = F.raise_error(F.concat(F.lit("Could not parse sequence of contig "), F.col("contig"))).cast("string")
     return last.select("contig", F.when(is_plain(F.col("s")), F.upper("s")).otherwise(wrong).alias("sequence"))
 
@@ -64,26 +81,32 @@ def read_pileup(spark: SparkSession, path: str, strict: bool = True) -> DataFram
     """
     if path.rstrip("/").endswith(".parquet"):
         rows = spark.read.parquet(path).select(*COLUMNS)
-    elif path.endswith((".bed", ".gz", ".bgz")) or os.path.isdir(path.removeprefix("file://")):
+    elif path.endswith((".bed", ".gz", ".bgz")) or files.is_folder(path):
         rows = spark.read.schema(SCHEMA).csv(path, sep="\t", quote="", mode="FAILFAST" if strict else "PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     else:
         raise PileupError(f"Unsupported file type: {path}")
-    rows = rows.withColumn("_order", F.monotonically_increasing_id())
+    rows = in_file_order(rows, "_order")
     return check_mod_types(rows) if strict else rows
 
 
 def pileup_from_frame(rows: DataFrame) -> DataFrame:
-    """Any frame that has the 18 columns, by name; without the names, by place."""
+    """Any frame that has the 18 columns, by name; without the names, by place.
+
+    Frames of pandas, and any other that can give an Arrow table, are taken over
+    into Spark first.
+    """
     if not set(COLUMNS) <= set(rows.columns):
         if len(rows.columns) < len(COLUMNS):
             raise PileupError(f"a pileup has {len(COLUMNS)} columns")
         rows = rows.toDF(*COLUMNS, *rows.columns[len(COLUMNS) :])
+    kinds = dict(x.replace("`", "").split() for x in SCHEMA.split(", "))
+    rows = rows.withColumns({c: F.col(f"`{c}`").cast(kinds[c]) for c in COLUMNS})
     return rows.select(*COLUMNS, *(["_order"] if "_order" in rows.columns else [F.monotonically_increasing_id().alias("_order")]))
 
 
 def _frames(path: str, contig: str, begin: int, end: int, most: int) -> Iterator[pd.DataFrame]:
     """Lines of a contig between two virtual offsets, at most so many in a frame."""
-    with open(path, "rb") as f:
+    with files.open_read(path) as f:
         found = ((v, line) for v, line in BgzfReader(f, begin).lines(end) if line.split("\t", 1)[0] == contig)
         while rows := list(islice(found, most)):
             yield pd.DataFrame(rows, columns=["_order", "line"])
@@ -94,21 +117,28 @@ def read_indexed_pileup(spark: SparkSession, path: str, contigs: list[str], part
 
     A contig is cut into tasks of about ``part_bytes`` of the file, as far as
     its index has offsets to cut at, and a task holds ``frame_rows`` lines at once.
+    A folder is read by the indexes of its files, as ``write_bgzf_folder`` makes them.
     """
-    path = path.removeprefix("file://")
-    index = index_parts(path, part_bytes)
+    names = files.found(path, "*.gz")
+    if not names:
+        raise FileNotFoundError(path)
     asked = {c.strip(WHITESPACE) for c in contigs}
-    found = [c for c in index if c.strip(WHITESPACE) in asked]
-    missing = asked - {c.strip(WHITESPACE) for c in found}
-    if missing:
-        raise PileupError(f"contigs not in the pileup: {sorted(missing)}")
-    parts = [(c, *part) for c in found for part in index[c]]
-    spans = spark.createDataFrame(parts, "contig string, a long, b long").repartition(max(1, len(parts)))
+    parts, known = [], set()
+    for at, name in enumerate(names):
+        for c, cuts in index_parts(name, part_bytes).items():
+            if c.strip(WHITESPACE) in asked:
+                known.add(c.strip(WHITESPACE))
+                parts += [(at, name, c, *cut) for cut in cuts]
+    if asked - known:
+        raise PileupError(f"contigs not in the pileup: {sorted(asked - known)}")
+    spans = spark.createDataFrame(parts, "at long, name string, contig string, a long, b long").repartition(max(1, len(parts)))
 
     def fetch(batches):
         for pdf in batches:
-            for c, a, b in pdf.itertuples(index=False):
-                yield from _frames(path, c, a, b, frame_rows)
+            for at, name, c, a, b in pdf.itertuples(index=False):
+                for frame in _frames(name, c, a, b, frame_rows):
+                    frame["_order"] += at << 48  # virtual offsets have 48 bits in files below 4 GB and more only by what they add up to
+                    yield frame
 
     lines = spans.mapInPandas(fetch, "_order long, line string")
     parts = F.split("line", "\t")
@@ -116,8 +146,19 @@ def read_indexed_pileup(spark: SparkSession, path: str, contigs: list[str], part
     return lines.select(*(F.trim(parts[i]).cast(kinds[c]).alias(c) for i, c in enumerate(COLUMNS)), "_order")
 
 
+def to_spark(spark: SparkSession, rows) -> DataFrame:
+    """A Spark frame of a frame of Spark, pandas, Arrow, or any with ``to_arrow``; the order of its rows goes into ``_order``."""
+    if isinstance(rows, DataFrame):
+        return rows
+    table = rows if isinstance(rows, pa.Table) else pa.Table.from_pandas(rows, preserve_index=False) if isinstance(rows, pd.DataFrame) else rows.to_arrow() if hasattr(rows, "to_arrow") else None
+    if table is None:
+        raise TypeError(f"not a frame: {type(rows).__name__}")
+    names = [*table.column_names, "_order"]
+    return spark.createDataFrame(pa.Table.from_arrays([*table.columns, pa.array(range(table.num_rows), pa.int64())], names=names))
+
+
 def indexed_contigs(path: str) -> list[str]:
-    return sorted(read_index(path.removeprefix("file://")))
+    return sorted({c for name in files.found(path, "*.gz") for c in read_index(name)})
 
 
 def read_ids(spark: SparkSession, path: str, column: str = "read_id") -> DataFrame:
@@ -127,17 +168,17 @@ def read_ids(spark: SparkSession, path: str, column: str = "read_id") -> DataFra
 
 def read_contig_list(path: str) -> list[str]:
     """Contigs of a small file: trimmed, without blank lines and comments."""
-    with open(path) as f:
+    with io.TextIOWrapper(files.open_read(path)) as f:
         out = [x for line in f if (x := line.strip()) and not x.startswith("#")]
     if not out:
         raise PileupError("No contigs found in file")
     return out
 
 
-def read_bam(spark: SparkSession, path: str, primary_only: bool = True) -> DataFrame:
-    """Mapped reads of BAM files; secondary alignments are left out."""
+def read_bam(spark: SparkSession, path: str, primary_only: bool = True, full: bool = False) -> DataFrame:
+    """Mapped reads of BAM files; secondary alignments are left out. Unmapped reads are no error: they have no reference to look at. ``full``: all that a record holds."""
     spark.dataSource.register(BamSource)
-    rows = spark.read.format("strandlake_bam").load(path)
+    rows = spark.read.format("strandlake_bam").option("full", str(full).lower()).load(path)
     return rows.where(F.col("flag").bitwiseAND(256) == 0).where("contig is not null") if primary_only else rows
 
 
@@ -147,7 +188,7 @@ def read_bam_tags(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bam_contigs(path: str) -> list[str]:
-    return reference_names(path.removeprefix("file://"))
+    return reference_names(files.found(path, "*.bam")[0])
 
 
 @dataclass
@@ -159,24 +200,23 @@ class _Chunk(InputPartition):
 
 class _FastqReader(DataSourceReader):
     def __init__(self, path: str, chunk: int) -> None:
-        self.path, self.chunk = path.removeprefix("file://"), chunk
+        self.path, self.chunk = path, chunk
 
     def partitions(self) -> list[InputPartition]:
-        files = sorted(x for x in (glob.glob(os.path.join(self.path, "*")) if os.path.isdir(self.path) else glob.glob(self.path)) if ".fastq" in x or ".fq" in x or x == self.path)
-        if not files:
+        names = [x for x in files.found(self.path) if ".fastq" in x or ".fq" in x or x == self.path or x.rpartition("/")[2].startswith("part-")]
+        if not names:
             raise FileNotFoundError(self.path)
         out: list[InputPartition] = []
-        for f in files:
+        for f in names:
             if f.endswith(".gz"):
                 out.append(_Chunk(f, 0, None))
             else:
-                size = os.path.getsize(f)
+                size = files.size_of(f)
                 out += [_Chunk(f, a, min(a + self.chunk, size)) for a in range(0, max(size, 1), self.chunk)]
         return out
 
     def read(self, p: _Chunk) -> Iterator[tuple]:
-        with gzip.open(p.path, "rb") if p.path.endswith(".gz") else open(p.path, "rb") as f:
-            f.seek(p.begin)
+        with files.open_read(p.path) as raw, gzip.open(raw, "rb") if p.path.endswith(".gz") else raw as f:
             if p.begin:
                 f.seek(p.begin - 1)
                 f.readline()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators.pattern import ordered
 from strandlake.operators.pileup import pileup_lines
+from strandlake.sources import files
 from strandlake.sources.bgzf import PileupWriter
 from strandlake.sources.formats import tsv_lines
 
@@ -54,25 +56,92 @@ def write_contig_parquet(pileup: DataFrame, path: str, partitions: int | None =
 
 
 def write_bgzf(pileup: DataFrame, path: str | Path, force: bool = False) -> None:
-    """One BGZF file with a tabix index, sorted by contig and start; streamed through the driver as it is one file."""
-    rows = pileup.orderBy("contig", "start")
+    """One BGZF file with a tabix index, sorted by contig and start, rows of one start in file order; streamed through the driver as it is one file."""
+    ties = ["_order"] if "_order" in pileup.columns else ["strand", "mod_type"]
+    rows = pileup.orderBy("contig", "start", *ties)
     with PileupWriter(path, force) as w:
         w.write_lines(r["line"] for r in pileup_lines(rows).toLocalIterator())
 
 
+def write_bgzf_folder(pileup: DataFrame, folder: str, partitions: int | None = None) -> None:
+    """A folder of BGZF files with their indexes, together sorted by contig and start; nothing passes the driver.
+
+    ``readers.read_indexed_pileup`` takes the folder. A task that runs again
+    replaces its files.
+    """
+    ties = ["_order"] if "_order" in pileup.columns else ["strand", "mod_type"]
+    ranged = pileup.repartitionByRange(partitions, "contig", "start") if partitions else pileup.repartitionByRange("contig", "start")
+    lines = pileup_lines(ranged.sortWithinPartitions("contig", "start", *ties))
+    files.make_folder(folder)
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        path = f"{folder.rstrip('/')}/part-{task.partitionId():05d}.bed.gz"
+        w = None
+        for b in batches:
+            w = w or PileupWriter(f"{path}.{task.taskAttemptId()}", force=True)
+            w.write_lines(b.column(0).to_pylist())
+        if w:
+            w.finish()
+            files.move(f"{w.path}.tbi", f"{path}.tbi")
+            files.move(w.path, path)
+        return iter(())
+
+    lines.mapInArrow(write, "done int").write.format("noop").mode("overwrite").save()
+
+
 def sam_lines(reads: DataFrame) -> DataFrame:
-    """Alignment lines with the tags, column ``line``; ``reads`` as the BAM source gives them."""
+    """Alignment lines with their tags, column ``line``; ``reads`` as the BAM source gives them, best with all columns (``full``)."""
     from strandlake.functions.iupac import reverse_complement
-
-    text = lambda c, missing: F.coalesce(F.col(c).cast("string"), F.lit(missing))
-    seq = F.when(F.col("strand") == "-", reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
-    fields = [text("read_id", "*"), text("flag", "0"), text("contig", "*"), F.coalesce(F.col("start") + 1, F.lit(0)).cast("string"), text("mapq", "255"), text("cigar", "*"), F.lit("*"), F.lit("0"), F.lit("0"), F.coalesce(seq, F.lit("*")), F.lit("*")]
+    from strandlake.sources.bam import tag_texts
+
+    text = lambda c, missing: F.coalesce(F.col(c).cast("string"), F.lit(missing)) if c in reads.columns else F.lit(missing)
+    turned = F.col("strand") == "-"
+    seq = F.when(turned, reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
+    qual = F.coalesce(F.when(turned, F.reverse("qual")).otherwise(F.col("qual")), F.lit("*")) if "qual" in reads.columns else F.lit("*")
+    one = lambda c: F.coalesce(F.col(c) + 1, F.lit(0)).cast("string") if c in reads.columns else F.lit("0")
+    fields = [text("read_id", "*"), text("flag", "0"), text("contig", "*"), one("start"), text("mapq", "255"), text("cigar", "*"), text("mate_contig", "*"), one("mate_start"), text("template_length", "0"), F.coalesce(seq, F.lit("*")), qual]
     tags = [F.concat(F.lit("MM:Z:"), "mm"), F.concat(F.lit("ML:B:C,"), F.array_join("ml", ","))]
+    if "tags" in reads.columns:
+
+        @F.pandas_udf("string")
+        def rest(values):
+            return values.map(lambda v: "\t".join(tag_texts(v)) or None, na_action="ignore").astype(object)
+
+        tags.insert(0, rest("tags"))
     return reads.select(F.concat_ws("\t", *fields, *tags).alias("line"))
 
 
 def write_sam(reads: DataFrame, folder: str, header: str = "") -> None:
-    """A folder of text files; the header goes into the file ``header.sam`` of the folder beside them."""
+    """A folder of text files; the header goes into a folder of its own beside it, with ``-header`` behind the name."""
     sam_lines(reads).write.text(folder)
     if header:
         reads.sparkSession.createDataFrame([(x,) for x in header.rstrip("\n").split("\n")], "line string").coalesce(1).write.text(folder.rstrip("/") + "-header")
+
+
+def write_sam_file(reads: DataFrame, path: str, header: str = "") -> None:
+    """One file with the header first; lines pass the driver one partition at a time."""
+    with io.TextIOWrapper(files.open_write(path)) as f:
+        f.write(header.rstrip("\n") + "\n" * bool(header))
+        for r in sam_lines(reads).toLocalIterator():
+            f.write(r["line"] + "\n")
+
+
+def write_fasta(contigs: DataFrame, folder: str) -> None:
+    """A folder of FASTA files."""
+    contigs.select(F.concat(F.lit(">"), "contig", F.lit("\n"), "sequence")).write.text(folder)
+
+
+def write_pileup(pileup: DataFrame, folder: str) -> None:
+    """A folder of plain pileup files, in the frame's order."""
+    pileup_lines(pileup).write.text(folder)
+
+
+def write_fastq(reads: DataFrame, folder: str) -> None:
+    """A folder of FASTQ files with the tags in the headers. ``reads``: ``read_id, seq, mm, ml`` and maybe ``qual``."""
+    qual = F.coalesce(F.col("qual"), F.repeat(F.lit("!"), F.length("seq"))) if "qual" in reads.columns else F.repeat(F.lit("!"), F.length("seq"))
+    head = F.concat_ws(" ", F.concat(F.lit("@"), "read_id"), F.concat(F.lit("MM:Z:"), "mm"), F.concat(F.lit("ML:B:C,"), F.array_join("ml", ",")))
+    lines = F.concat_ws("\n", head, "seq", F.lit("+"), qual)
+    reads.select(lines.alias("line")).write.text(folder)
