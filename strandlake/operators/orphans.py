@@ -170,6 +170,7 @@ def orphan_references(tables: list[References], parents: Parents, broadcast_byte
     if parents.holes_bytes <= broadcast_bytes:
         found = open_.join(F.broadcast(h), inside, "left_anti")
     else:
+        open_ = materialize(open_, "open-references")  # read several times: the orphans, and those that a gap may explain
         left, right = _salted(open_.where("reason = 'gap'"), h, "_hid", salts)
         found = open_.where("reason <> 'gap'").unionByName(left.join(right, inside & (F.col("_salt") == F.col("_s")), "left_anti").drop("_salt"))
     return found.withColumn("reason", F.when(F.col("reason") == "gap", "removed").otherwise(F.col("reason")))
