@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from enum import Enum
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import iupac
@@ -98,3 +98,13 @@ def order_of(rows: DataFrame) -> list[Column]:
 
 def ordered(rows: DataFrame) -> DataFrame:
     return rows.orderBy(*order_of(rows))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows in result order with their number from 1, ``row_no``; no task sees all of them."""
+    placed = ordered(rows).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_in"))
+    placed = materialize(placed, "ordered")  # numbers within partitions hold for the one sort that was written
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", before.alias("_before"))
+    return placed.join(F.broadcast(starts), "_part").select(*rows.columns, (F.col("_before") + F.col("_in") + 1).alias("row_no"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import iupac, modtags
-from strandlake.functions.modtags import Descriptor
+from strandlake.functions.modtags import Descriptor, parse_rename
 from strandlake.functions.motif import Motif
 from strandlake.functions.text import sql_stripped, stripped
 from strandlake.operators import motifs as motif_ops
@@ -202,8 +202,7 @@ def tag_descriptors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tag_rename(spark: SparkSession, d: str) -> DataFrame:
-    old = Descriptor.parse("C+21839.")
-    return tags.rename_tags(tagged_reads(spark, d), [(old, old.with_code("h"))]).select("read_id", "mm")
+    return tags.rename_tags(tagged_reads(spark, d), [parse_rename("C+21839.:h")]).select("read_id", "mm")
 
 
 def tag_remove(spark: SparkSession, d: str) -> DataFrame:

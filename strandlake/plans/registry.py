@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandlake.plans import methylation, quality
+from strandlake.plans import elements, files, methylation, quality
 
-QUERIES = {**quality.QUERIES, **methylation.QUERIES}
-ORACLE = {**quality.ORACLE, **methylation.ORACLE}
+QUERIES = {**quality.QUERIES, **methylation.QUERIES, **elements.QUERIES, **files.QUERIES}
+ORACLE = {**quality.ORACLE, **methylation.ORACLE, **elements.ORACLE, **files.ORACLE}

@@ -46,22 +46,27 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    The written table survives the loss of executors and keeps an expensive
-    stage from running once per consumer.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes at the application's end, or at that of a ``released`` block."""
     root = f"{shared_dir(spark)}/strandlake/{spark.sparkContext.applicationId}"
     if root not in _roots:
         _roots.add(root)
         atexit.register(_remove, spark, root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     for paths in _open:
         paths.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    The written table survives the loss of executors and keeps an expensive
+    stage from running once per consumer.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _open: list[list[str]] = []
