@@ -113,7 +113,7 @@ def bgzf_pileup(input: str, output: str | None = None, keep: bool = False, force
     """Compress a pileup to BGZF with an index; the input is removed unless kept."""
     out = output or f"{input}.gz"
     if not out.endswith("bed.gz"):
-        raise ValueError(f"Output file should have bed.gz extension. Got: {out}")
+        raise ValueError(f"the output needs a bed.gz extension: {out}")
     writers.write_bgzf(readers.read_pileup(_spark(spark), input), out, force)
     if not keep:
         files.remove(input)
@@ -128,7 +128,7 @@ def bgzf_lines(lines: Iterable[str], output: str | BinaryIO, force: bool = False
     """
     if isinstance(output, str | Path):
         if not str(output).endswith(".gz"):
-            raise ValueError(f"Output file should have bed.gz extension. Got: {output}")
+            raise ValueError(f"the output needs a bed.gz extension: {output}")
         with BgzfWriter(output, force) as w:
             w.write_lines(lines)
         return

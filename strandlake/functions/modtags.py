@@ -113,7 +113,7 @@ def append(mm: Column, ml: Column, other_mm: Column, other_ml: Column) -> tuple[
 
 def checked(mm: Column, ml: Column) -> Column:
     """``mm``, failing the query where only one of the tags is present."""
-    text = F.when(mm.isNull(), "Missing mm values, but present ml values").otherwise("Missing ml values, but present mm values")
+    text = F.when(mm.isNull(), "a read has ML qualities but no MM tag").otherwise("a read has an MM tag but no ML qualities")
     return F.when(mm.isNull() != ml.isNull(), F.raise_error(text).cast("string")).otherwise(mm)
 
 

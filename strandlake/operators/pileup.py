@@ -81,9 +81,10 @@ def _name(column: str, exact: bool) -> Column:
     return F.col(column) if exact else stripped(F.col(column))
 
 
-def list_contigs(pileup: DataFrame, exact: bool = False) -> DataFrame:
-    """Distinct stripped contigs; with ``exact`` the names as they stand."""
-    return pileup.select(_name("contig", exact).alias("contig")).distinct()
+def list_contigs(pileup: DataFrame, exact: bool = False, order: str | None = None) -> DataFrame:
+    """Distinct stripped contigs; with ``exact`` the names as they stand. With ``order``, the column of the file order, as first seen: ``contig, first_seen``."""
+    named = pileup.select(_name("contig", exact).alias("contig"), *([F.col(order).alias("_at")] if order else []))
+    return named.groupBy("contig").agg(F.min("_at").alias("first_seen")).orderBy("first_seen") if order else named.distinct()
 
 
 def query_contigs(pileup: DataFrame, contigs: list[str], columns: list[str] | None = None, order: str | None = None, exact: bool = False) -> DataFrame:

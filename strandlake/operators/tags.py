@@ -49,7 +49,7 @@ def merge_tags(source: DataFrame, target: DataFrame, rename_source: list | None
         renamed = rename_tags(src, rename_source or [])
         both = [r[0] for r in overlapping_tags(renamed, renamed_target, ignore).limit(10).collect()]
         if both:
-            raise TagError(f"Overlap in modified descriptors found between files. Consider renaming: {both}")
+            raise TagError(f"both sides have tags of the same kind; rename or ignore one of them: {both}")
     src = rename_tags(remove_tags(src, ignore or []), rename_source or [])
     rank = F.struct(F.col(order) if order else F.lit(0), F.coalesce("mm", F.lit("")), F.coalesce("ml", F.array().cast("array<int>")))
     last = src.groupBy("read_id").agg(F.max_by(F.struct("mm", F.col("ml").cast("array<int>").alias("ml")), rank).alias("_t"))

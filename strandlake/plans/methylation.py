@@ -94,6 +94,11 @@ def pileup_list_contigs(spark: SparkSession, d: str) -> DataFrame:
     return pileup.list_contigs(pileup_rows(spark, d))
 
 
+def pileup_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    """Contigs in the order in which the pileup first has them."""
+    return pileup.list_contigs(pileup_rows(spark, d), order="row_id")
+
+
 def pileup_missing_in_assembly(spark: SparkSession, d: str) -> DataFrame:
     return pileup.not_in(pileup_rows(spark, d), assembly(spark, d))
 
@@ -241,7 +246,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         contig_median, contig_weighted_mean, contig_raw, contig_verify_from_raw, motif_positions, motif_occurrences, pileup_filtered, pileup_netted, pileup_dedupe_last,
-        pileup_query_contigs, pileup_projection, pileup_list_contigs, pileup_missing_in_assembly, assembly_missing_in_pileup, assembly_missing_in_filtered, pileup_netted_strict, sequence_revcomp, motif_revcomp, motif_regex,
+        pileup_query_contigs, pileup_projection, pileup_list_contigs, pileup_first_seen, pileup_missing_in_assembly, assembly_missing_in_pileup, assembly_missing_in_filtered, pileup_netted_strict, sequence_revcomp, motif_revcomp, motif_regex,
         motif_expansions, motif_parent_child, motif_collapse, motif_union, mm_parse, mm_calls, read_fastq_pattern, read_bam_pattern, read_mapping_status, read_id_filter,
         cigar_positions, tag_descriptors, tag_rename, tag_remove, tag_overlap, tag_merge, result_ordering, tsv_lines,
     )
@@ -359,6 +364,7 @@ ORACLE = {
       from pileup join {_ASKED} on {sql_stripped("contig")} = q""",
     "pileup_projection": f"select q as contig, ref_start as start, score from pileup join {_ASKED} on {sql_stripped('contig')} = q",
     "pileup_list_contigs": f"select distinct {sql_stripped('contig')} as contig from pileup",
+    "pileup_first_seen": f"select {sql_stripped('contig')} as contig, min(row_id) as first_seen from pileup group by 1",
     "pileup_missing_in_assembly": f"with {_ASM} select distinct {sql_stripped('contig')} as contig from pileup where contig is not null and {sql_stripped('contig')} not in (select contig from asm)",
     "assembly_missing_in_pileup": f"with {_ASM} select contig from asm where contig not in (select {sql_stripped('contig')} from pileup where contig is not null)",
     "assembly_missing_in_filtered": f"with {_ASM}, {_METH} select contig from asm where contig not in (select contig from meth where contig is not null)",

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.operators.orphans import References, bloom_filter, orphan_references, orphan_report, parent_lifetimes
+from strandlake.operators.orphans import References, bloom_filter, orphan_references, orphan_report, parent_lifetimes, proved_shares
 
 T0 = dt.datetime(2024, 1, 1)
 PARENT = "id string, loaded_at timestamp, removed_at timestamp, sequence string"
@@ -77,3 +77,13 @@ def test_bloom_filter_has_no_false_negatives_and_few_false_positives(spark):
 
     assert passing(keys) == 5000
     assert passing(spark.range(5000).select(F.concat(F.lit("other"), "id").alias("id"))) < 250
+
+
+def test_proved_shares(spark):
+    parents = parent_lifetimes([spark.createDataFrame([(f"k{i}", hour(0), None, "") for i in range(3000)], PARENT)])
+    refs = [(i, f"k{i}" if i % 2 else f"other{i}", hour(1)) for i in range(2000)] + [(-1, None, hour(1)), (-2, " ", hour(1))]
+    t = References("t", spark.createDataFrame(refs, "k long, ref string, at timestamp"), F.col("k"), F.col("ref"), F.col("at"))
+    r = proved_shares([t], parents).first()
+    assert r["n_references"] == 2000 and r["n_proved"] + r["n_verified"] == 2000 and 980 <= r["n_proved"] <= 1000
+    full = proved_shares([t], parents, bits_per_key=1, max_words=64).first()
+    assert full["n_proved"] < r["n_proved"] and orphan_references([t], parents, bits_per_key=1, max_words=64).count() == 1000

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from strandlake.functions.motif import parse_motifs
 from strandlake.operators import pattern, pileup
 from strandlake.operators.assembly import latest_loads
+from strandlake.operators.scan import motif_blocks
 
 MOTIFS = parse_motifs(["GATC_a_1", "GATC_m_3", "GATC_21839_3"])
 
@@ -18,17 +19,18 @@ def frame(spark, rows):
     return spark.createDataFrame(rows or [], pileup.SCHEMA + ", n long") if rows == [] else spark.createDataFrame([tuple(r[c] for c in pileup.COLUMNS) + (r["n"],) for r in rows], pileup.SCHEMA + ", n long")
 
 
-def test_toy_pattern(spark):
-    rows = [row(6, cov=15, modified=15), row(8, "m", cov=20, modified=20), row(12, cov=20, modified=5), row(7, strand="-", cov=20, modified=20), row(13, strand="-", cov=20, modified=5)]
-    contigs = spark.createDataFrame([("contig_3", "TGGACGATCCCGATC")], "contig string, sequence string")
+def test_pattern_by_hand(spark):
+    # GATC lies at 2 and 8: adenines at 3 and 9 forward, 4 and 10 reverse; cytosines at 5 and 11, 2 and 8
+    rows = [row(3, cov=10, modified=9), row(9, cov=30, modified=6), row(4, strand="-", cov=8, modified=8), row(5, "m", cov=16, modified=4), row(6, cov=12, modified=12)]
+    contigs = spark.createDataFrame([("contig_3", "CTGATCAAGATCTTC")], "contig string, sequence string")
     meth = pileup.methylation(frame(spark, rows), 1, 0.8, order="n")
     got = {r.mod_type: tuple(r)[4:] for r in pattern.median(contigs, meth, MOTIFS).collect()}
-    assert got == {"a": (0.625, 18.75, 4, 4), "m": (1.0, 20.0, 1, 4)}
-    assert {r.mod_type: r.methylation_value for r in pattern.weighted_mean(contigs, meth, MOTIFS).collect()} == {"a": 0.6, "m": 1.0}
+    assert got == {"a": (0.9, 16.0, 3, 4), "m": (0.25, 16.0, 1, 4)}
+    assert {r.mod_type: r.methylation_value for r in pattern.weighted_mean(contigs, meth, MOTIFS).collect()} == {"a": 23 / 48, "m": 0.25}
     raw = pattern.raw(contigs, meth, MOTIFS)
-    assert raw.columns == list(pattern.RAW_COLUMNS) and raw.count() == 5
+    assert raw.columns == list(pattern.RAW_COLUMNS) and raw.count() == 4
     again = {r.mod_type: (r.median, r.n_motif_obs) for r in pattern.degrees_from_raw(raw).collect()}
-    assert again == {"a": (0.625, 4), "m": (1.0, 1)}
+    assert again == {"a": (0.9, 3), "m": (0.25, 1)}
     assert pattern.median(contigs, meth.limit(0), MOTIFS).count() == 0
 
 
@@ -89,3 +91,30 @@ def test_latest_load_counts(spark):
     got = latest_loads(spark.createDataFrame(rows, "id string, sequence string, loaded_at long, contig_row long"))
     assert sorted(map(tuple, got.collect())) == [("a", "GG"), ("b", None)]
     assert latest_loads(spark.createDataFrame(rows[:1], "id string, sequence string, loaded_at long, contig_row long")).first().sequence == "ACGTN"
+
+
+def test_loads_of_one_time_and_row(spark):
+    rows = [("a", "ACG", 1, 0), ("a", "ACGT", 1, 0), ("a", "TTTT", 1, 0), ("a", None, 1, 0), ("b", "A", 1, 0), ("b", "A", 1, 0)]
+    df = spark.createDataFrame(rows, "id string, sequence string, loaded_at long, contig_row long")
+    got = {r.contig: r.sequence for r in latest_loads(df).collect()}
+    assert set(got) == {"a", "b"} and got["a"] in ("ACGT", "TTTT") and got["b"] == "A"
+    assert {r.contig: r.sequence for r in latest_loads(df.repartition(3)).collect()} == got
+
+
+def test_sequences_move_once(spark):
+    contigs = latest_loads(spark.createDataFrame([("a", "GATC", 1, 1)], "id string, sequence string, loaded_at long, contig_row long"))
+    plan = motif_blocks(contigs, MOTIFS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "MapInArrow" in plan
+
+
+def test_numbered_rows(spark):
+    rows = [(f"c{i % 7}", "GATC", "a", 1, i / 10, 1.0, 1, 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "contig string, motif string, mod_type string, mod_position int, methylation_value double, mean_read_cov double, n_motif_obs long, motif_occurences_total long")
+    got = pattern.numbered(df).orderBy("row_no").collect()
+    assert [r.row_no for r in got] == list(range(1, 201)) and [(r.contig, r.methylation_value) for r in got] == sorted((r[0], r[4]) for r in rows)
+    assert pattern.numbered(df.limit(0)).count() == 0
+
+
+def test_first_seen(spark):
+    df = frame(spark, [row(1, contig="b", n=5), row(1, contig=" a", n=2), row(1, contig="a", n=9), row(1, contig="b ", n=7)])
+    assert [tuple(r) for r in pileup.list_contigs(df, order="n").collect()] == [("a", 2), ("b", 5)]
