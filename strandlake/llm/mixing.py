@@ -140,11 +140,12 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, source: str, lang: str, s
     uses = _prefixes(sized, {p[:3]: p[6:] for p in plan}, seed, max((v[1] for v in found.values()), default=0))
     planned = local_frame(spark, [p[:6] for p in plan], "domain string, lang string, source string, available long, most long, budget long")
     per_leaf = uses.groupBy(*LEAF).agg(F.sum(F.col("_size") * F.col("n_uses")).alias("taken"))
-    reached = per_leaf.join(F.broadcast(planned), LEAF, "right").select(*LEAF, "available", "most", "budget", F.coalesce("taken", F.lit(0)).alias("taken"))
+    # one row per leaf on either side
+    reached = planned.join(F.broadcast(per_leaf), LEAF, "left").select(*LEAF, "available", "most", "budget", F.coalesce("taken", F.lit(0)).alias("taken"))
     facts = [(s, name, share, uses_, share * total) for s, (name, share, uses_) in goals.items()]
     goal = local_frame(spark, facts, "_s string, _name string, target_share double, max_uses int, _goal double")
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("available", "most", "budget", "taken")]
-    shares = reached.join(F.broadcast(goal), F.col("_s") == F.col("source"), "right").groupBy("_s", "_name", "target_share", "max_uses", "_goal").agg(*sums)
+    shares = goal.join(F.broadcast(reached), F.col("_s") == F.col("source"), "left").groupBy("_s", "_name", "target_share", "max_uses", "_goal").agg(*sums)
     shares = shares.withColumn("_all", F.sum("taken").over(Window.partitionBy(F.lit(1))))
     short = (F.col("taken") >= F.col("most")) & (F.col("taken") < F.col("_goal"))
     shares = shares.select(F.col("_name").alias("source"), "target_share", "max_uses", "available", "budget", "taken", F.coalesce(F.try_divide("taken", "_all"), F.lit(0.0)).alias("share"), (~short).alias("reachable"))
