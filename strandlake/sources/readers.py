@@ -123,19 +123,24 @@ def read_indexed_pileup(spark: SparkSession, path: str, contigs: list[str], part
     if not names:
         raise FileNotFoundError(path)
     asked = {c.strip(WHITESPACE) for c in contigs}
-    parts, known = [], set()
+    parts, known, task, filled = [], set(), 0, 0
     for at, name in enumerate(names):
         for c, cuts in index_parts(name, part_bytes).items():
             if c.strip(WHITESPACE) in asked:
                 known.add(c.strip(WHITESPACE))
-                parts += [(at, name, c, *cut) for cut in cuts]
+                for a, b in cuts:
+                    size = (b >> 16) - (a >> 16)
+                    if filled and filled + size > part_bytes:  # small contigs share a task
+                        task, filled = task + 1, 0
+                    filled += max(size, 1)
+                    parts.append((task, at, name, c, a, b))
     if asked - known:
         raise PileupError(f"contigs not in the pileup: {sorted(asked - known)}")
-    spans = spark.createDataFrame(parts, "at long, name string, contig string, a long, b long").repartition(max(1, len(parts)))
+    spans = spark.createDataFrame(parts, "task long, at long, name string, contig string, a long, b long").repartitionByRange(task + 1, "task")
 
     def fetch(batches):
         for pdf in batches:
-            for at, name, c, a, b in pdf.itertuples(index=False):
+            for _, at, name, c, a, b in pdf.itertuples(index=False):
                 for frame in _frames(name, c, a, b, frame_rows):
                     frame["_order"] += at << 48  # virtual offsets have 48 bits in files below 4 GB and more only by what they add up to
                     yield frame
