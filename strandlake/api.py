@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import shutil
 from collections.abc import Iterable
 from contextlib import nullcontext
 from enum import Enum
@@ -17,6 +18,7 @@ from strandlake.functions.motif import collapse_children, parse_motifs
 from strandlake.functions.text import stripped
 from strandlake.operators import pattern, pileup, reads, tags
 from strandlake.operators.pattern import Output as MethylationOutput
+from strandlake.session import released, scratch
 from strandlake.sources import bam, files, readers, writers
 from strandlake.sources.bgzf import END_BLOCK, record_line
 from strandlake.sources.bgzf import RecordWriter as BgzfWriter
@@ -139,15 +141,23 @@ def bgzf_lines(lines: Iterable[str], output: str | BinaryIO, force: bool = False
 
 
 def extract_pileup(pileup_path: str, output: str | TextIO, contigs: list[str] | None = None, contigs_file: str | None = None, spark: SparkSession | None = None) -> None:
-    """Write the rows of contigs as plain text, to a path or a text stream such as standard output."""
+    """Write the rows of contigs as plain text, to a path or a text stream such as standard output.
+
+    The executors write the lines to the shared folder and the driver joins
+    these files: a partition of any size takes none of its memory.
+    """
     if contigs and contigs_file:
         raise ValueError("contigs can be named or listed in a file, but not both")
     if not contigs and not contigs_file:
         raise ValueError("contigs must be named or listed in a file")
     rows = query_pileup_records(pileup_path, contigs or readers.read_contig_list(contigs_file), spark=spark)
-    with nullcontext(output) if hasattr(output, "write") else io.TextIOWrapper(files.open_write(output)) as f:
-        for r in pileup.pileup_lines(rows).toLocalIterator():
-            f.write(r["line"] + "\n")
+    s = rows.sparkSession
+    with released(s), nullcontext(output) if hasattr(output, "write") else io.TextIOWrapper(files.open_write(output), encoding="utf-8", newline="") as f:
+        folder = scratch(s, "lines")
+        pileup.pileup_lines(rows).write.option("compression", "none").option("lineSep", "\n").text(folder)
+        for part in sorted(s.read.text(folder).inputFiles()):  # named in the order of the rows
+            with io.TextIOWrapper(files.open_read(part), encoding="utf-8", newline="") as lines:
+                shutil.copyfileobj(lines, f, 1 << 20)
 
 
 def read_fastq_pattern(path: str, motifs: list[str], read_ids: list[str] | None = None, mode: str = "spec", spark: SparkSession | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 _SETTING = "spark.checkpoint.dir"
+_temporary: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,9 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
         return given.rstrip("/")
     master = spark.sparkContext.master
     if master.startswith("local") and not master.startswith("local-cluster"):
-        folder = "file://" + tempfile.mkdtemp(prefix="strandlake-")
-        spark.conf.set(_SETTING, folder)
-        return folder
+        app = spark.sparkContext.applicationId
+        if app not in _temporary:  # Spark takes no such setting while it runs
+            _temporary[app] = "file://" + tempfile.mkdtemp(prefix="strandlake-")
+        return _temporary[app]
     raise ValueError(f"set {_SETTING} to a folder that all executors share")
 
 
@@ -47,11 +49,16 @@ def _remove(spark: SparkSession, folder: str) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is written there goes at the application's end, or at that of a ``released`` block."""
+    """A new path in the shared folder; what is written there goes at the application's end, or at that of a ``released`` block.
+
+    The folder it lies in is made, as only Spark's own writers make it themselves.
+    """
     root = f"{shared_dir(spark)}/strandlake/{spark.sparkContext.applicationId}"
     if root not in _roots:
         _roots.add(root)
         atexit.register(_remove, spark, root)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     for paths in _open:
         paths.append(path)
