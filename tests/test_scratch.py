@@ -34,7 +34,7 @@ def test_path_can_be_written(spark, fresh):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["pileup_extract"])
+@pytest.mark.parametrize("name", ["pileup_extract", "pileup_single_file"])
 def test_query_comes_first(spark, fresh, name):
     assert_same(spark, registry.QUERIES[name], registry.ORACLE[name])
 
