@@ -102,8 +102,7 @@ def pileup_single_file(spark: SparkSession, d: str) -> DataFrame:
     """Two contigs written as one BGZF file with its index, line by line, and read by the plain scan."""
     rows = _storable(spark, d).where(F.col("contig").isin(*CONTIGS)).orderBy("contig", "start", "_order")
     path = f"{scratch(spark, 'single')}.bed.gz"
-    with api.BgzfWriter(path) as w:
-        w.write_lines(r["line"] for r in pileup.pileup_lines(rows).toLocalIterator())
+    writers.write_bgzf_joined(pileup.pileup_lines(rows), path, api.BgzfWriter)
     return readers.read_pileup(spark, path).select(*pileup.COLUMNS)
 
 

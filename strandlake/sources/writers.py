@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import io
+import pickle
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.operators.pattern import ordered
 from strandlake.operators.pileup import pileup_lines
+from strandlake.session import released, scratch
 from strandlake.sources import files
 from strandlake.sources.bgzf import PileupWriter
 from strandlake.sources.formats import tsv_lines
@@ -92,6 +95,37 @@ def write_bgzf_folder(pileup: DataFrame, folder: str, partitions: int | None = N
     lines.mapInArrow(write, "done int").write.format("noop").mode("overwrite").save()
 
 
+def write_bgzf_joined(lines: DataFrame, path: str, writer: type[PileupWriter] = PileupWriter) -> None:
+    """Sorted pileup lines as one BGZF file with a tabix index; the lines don't pass the driver.
+
+    The executors write a file per partition to the shared folder, line by line,
+    and the driver joins their blocks and indexes. Only files of attempts that
+    came through are joined.
+    """
+    spark = lines.sparkSession
+    with released(spark):
+        folder = scratch(spark, "parts")
+        files.make_folder(folder)
+
+        def write(batches):
+            from pyspark import TaskContext
+
+            task = TaskContext.get()
+            w = None
+            for b in batches:
+                w = w or writer(f"{folder}/part-{task.partitionId():05d}.{task.taskAttemptId()}")
+                w.write_lines(b.column(0).to_pylist())
+            if w:
+                w.finish()
+                yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([w.path]), pa.array([pickle.dumps(w.index)], pa.binary())], names=["part", "path", "index"])
+
+        parts = lines.mapInArrow(write, "part int, path string, index binary").collect()
+        w = writer(path)
+        for p in sorted(parts, key=lambda p: p["part"]):
+            w.append(p["path"], pickle.loads(p["index"]))
+        w.finish()
+
+
 def sam_lines(reads: DataFrame) -> DataFrame:
     """Alignment lines with their tags, column ``line``; ``reads`` as the BAM source gives them, best with all columns (``full``)."""
     from strandlake.functions.iupac import reverse_complement
